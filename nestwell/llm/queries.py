@@ -17,6 +17,12 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nestwell.llm.secret_scan import report, scan_secrets
+
+    return report(scan_secrets(_table(spark, sf_dir, "documents")))
+
+
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nestwell.llm.token_counts import count_tokens
 
@@ -35,11 +41,19 @@ def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), length=1024, end_id=0)
 
 
+def pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nestwell.llm.pii import find_pii, report
+
+    return report(find_pii(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secret_scan": secret_scan,
         "op2_token_counts": token_counts,
         "op3_token_store": token_store,
         "op4_packing": packing,
+        "op5_pii": pii,
     }
 
 
