@@ -47,6 +47,12 @@ def pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(find_pii(_table(spark, sf_dir, "documents")))
 
 
+def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nestwell.llm.exact_dedup import exact_groups
+
+    return exact_groups(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": secret_scan,
@@ -54,8 +60,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_store": token_store,
         "op4_packing": packing,
         "op5_pii": pii,
+        "op6_exact_dedup": exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_exact_dedup": """
+            SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+                   doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256, false AS in_history
+            FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
+    }
