@@ -53,6 +53,12 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nestwell.llm.near_dedup import link_near
+
+    return link_near(_table(spark, sf_dir, "documents"), threshold=0.8, size=4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": secret_scan,
@@ -61,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_packing": packing,
         "op5_pii": pii,
         "op6_exact_dedup": exact_dedup,
+        "op7_near_dedup": near_dedup,
     }
 
 
