@@ -1,4 +1,4 @@
-"""Exact token ids from a tokenizers file, with a memo of pieces and resynchronised chunks for huge texts."""
+"""Exact token ids from a tokenizers file: a fast merge engine for plain texts, resynchronised chunks for huge ones."""
 
 from __future__ import annotations
 
@@ -7,36 +7,47 @@ import re
 
 import numpy as np
 
-#: White space other than blank and newline, and characters that libraries class differently.
-_UNUSUAL = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
-_SPACED = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_WORDS = re.compile(r"[^ \n]+")
-#: Characters that every library classes alike and that keep their class in lower case.
-_PLAIN = re.compile(r"[\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
-#: The two pre-tokenizers' rules for plain characters.
-_SPACED_RULE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-_WORD_RULE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-_MEMO_ENTRIES = 250_000
-_MEMO_PIECE = 64
-
-
-class _Memo(dict):
-    """Ids of pieces as bytes. Bounded: once full, it becomes the generation before, from which entries in use return."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make, self.old = make, {}
-
-    def __missing__(self, piece: str) -> bytes:
-        found = self.old.get(piece)
-        if found is None:
-            found = self.make(piece)
-        if len(piece) <= _MEMO_PIECE:
-            if len(self) >= _MEMO_ENTRIES:
-                self.old = dict(self)
-                self.clear()
-            self[piece] = found
-        return found
+#: Anything but characters that every library classes alike and that keep their class in lower case.
+_NOT_PLAIN = re.compile(r"[^\n\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]")
+#: The patterns of the two pre-tokenizers that the fast engine knows, as they stand in the files or the library.
+_BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_WORD_ENDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The second for plain characters.
+_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+
+
+def byte_of_letter() -> dict[str, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for U+0100 and on, in order."""
+    out, extra = {}, 256
+    for b in range(256):
+        if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255:
+            out[chr(b)] = b
+        else:
+            out[chr(extra)] = b
+            extra += 1
+    return out
+
+
+def ranks(spec: dict) -> dict[bytes, int] | None:
+    """Merge ranks by bytes, if ids follow the order of merges; a word's end counts as a blank.
+
+    Then an engine that joins the neighbours whose union has the least rank does what the file's merge list
+    does, provided that each token encodes to itself (the tests check it for the whole vocabulary).
+    """
+    model, letters = spec["model"], byte_of_letter()
+    suffix = model.get("end_of_word_suffix") or ""
+    vocab, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    first = len(vocab) - len(merges) - sum(x["content"] in vocab for x in spec["added_tokens"])
+    if any(vocab.get(a + b if not suffix else a.removesuffix(suffix) + b) != first + k for k, (a, b) in enumerate(merges)):
+        return None
+    out = {}
+    for token, k in vocab.items():
+        if not any(token == x["content"] for x in spec["added_tokens"]):
+            ends = bool(suffix) and token.endswith(suffix)
+            out[bytes(letters[c] for c in (token[: -len(suffix)] if ends else token)) + b" " * ends] = k
+    if suffix:
+        out.setdefault(b" ", len(vocab))
+    return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -53,13 +64,13 @@ def encoder(text: str) -> Encoder:
 class Encoder:
     """``ids(text)`` equals ``Tokenizer.encode(text, add_special_tokens=False).ids``.
 
-    A text is cut where the pre-tokenizer always ends a match: between a character that is not white space
-    and a blank or newline.  Pieces recur, so their ids are kept, in a memo of bounded size.  Texts with
-    other white space or a possible special string go to the library whole; texts beyond ``chunk``
-    characters go through overlapping chunks.
+    Plain texts go through a faster engine over the file's own vocabulary and merge order.  Texts with
+    unusual characters or a special string go to the library itself, and texts
+    beyond ``chunk`` characters through it in overlapping chunks.
     """
 
     def __init__(self, text: str, chunk: int = 65_536, overlap: int = 1_024):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tok, spec = Tokenizer.from_str(text), json.loads(text)
@@ -67,25 +78,13 @@ class Encoder:
         self.specials = [x["content"] for x in spec["added_tokens"]]
         self.guard = max([len(x) for x in self.specials], default=0) + 8
         self.normalizes = spec["normalizer"] is not None
-        pre = spec["pre_tokenizer"] or {}
-        if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not self.normalizes:
-            self.pieces = _SPACED.findall
-        elif pre.get("type") == "Sequence" and pre["pretokenizers"][0].get("behavior") == "Removed" and r"[^\s" in pre["pretokenizers"][0].get("pattern", {}).get("Regex", ""):
-            self.pieces = _WORDS.findall
-        else:
-            self.pieces = None
-        self.rule = _SPACED_RULE.findall if self.pieces == _SPACED.findall else _WORD_RULE.findall
-        self.tokens, self.memo = _Memo(self._library), _Memo(self._piece)
-
-    def _library(self, text: str) -> bytes:
-        return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        """New pieces often hold known pre-tokens: where their ends are certain, these are looked up."""
-        if not _PLAIN.fullmatch(piece):
-            return self._library(piece)
-        parts = self.rule(piece.lower() if self.normalizes else piece)
-        return b"".join(map(self.tokens.__getitem__, parts)) if len(parts) != 1 else self.tokens[parts[0]]
+        pre, self.fast, table = spec["pre_tokenizer"] or {}, None, ranks(spec)
+        if table and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not self.normalizes:
+            engine = tiktoken.Encoding("bytes", pat_str=_BYTE_LEVEL, mergeable_ranks=table, special_tokens={})
+            self.fast = engine.encode_ordinary
+        elif table and pre.get("type") == "Sequence" and pre["pretokenizers"][0].get("pattern", {}).get("Regex") == _WORD_ENDS:
+            engine = tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=table, special_tokens={})
+            self.fast = lambda text: engine.encode_ordinary(" ".join([*_WORDS.findall(text.lower()), ""]))
 
     def ids(self, text: str) -> np.ndarray:
         return self.encode(text)[0]
@@ -96,9 +95,9 @@ class Encoder:
             return np.empty(0, "<u4"), 1, 0
         if len(text) > self.chunk:
             return self.resync(text)
-        if self.pieces is None or "<|" in text or any(s in text for s in self.specials) or _UNUSUAL.search(text):
-            return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4"), 1, 0
-        return np.frombuffer(b"".join(map(self.memo.__getitem__, self.pieces(text))), "<u4"), 1, 0
+        if self.fast is not None and not any(s in text for s in self.specials) and not _NOT_PLAIN.search(text):
+            return np.array(self.fast(text), "<u4"), 1, 0
+        return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4"), 1, 0
 
     def _chunk(self, text: str, start: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and for each pre-token its first character in the whole text and its first token."""

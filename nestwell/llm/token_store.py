@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from nestwell.llm._common import Workspace, id_and_text, prefix_sums
 
 #: The rolling hash covers this many ids; a chunk ends where its top MASK_BITS bits are zero.
-WINDOW, MASK_BITS, LEAST, MOST = 8, 8, 64, 2048
+WINDOW, MASK_BITS, LEAST, MOST = 4, 10, 64, 8192
 _POLY = 0xEDB88320
 
 
@@ -21,14 +22,14 @@ def cut_points(ids: np.ndarray) -> list[int]:
     n = len(ids)
     if n <= LEAST:
         return [n] if n else []
-    g = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    g ^= g >> np.uint64(29)
-    g *= np.uint64(0xBF58476D1CE4E5B9)
-    h, m = np.zeros(n, np.uint64), np.uint64(1)
-    for k in range(WINDOW):
-        h[k:] += g[: n - k] * m
-        m = np.uint64((int(m) * 0x9E3779B97F4A7C15 + 2) % 2**64) | np.uint64(1)
-    hits = np.flatnonzero(h >> np.uint64(64 - MASK_BITS) == 0) + 1
+    g = ids.astype(np.uint32) * np.uint32(0x9E3779B1)
+    g ^= g >> np.uint32(15)
+    g *= np.uint32(0x85EBCA77)
+    h, m = g.copy(), 1
+    for k in range(1, WINDOW):
+        m = m * 0xC2B2AE3D % 2**32
+        h[k:] += g[: n - k] * np.uint32(m)
+    hits = np.flatnonzero(h < np.uint32(1 << (32 - MASK_BITS))) + 1
     ends, start, k = [], 0, 0
     while start < n:
         k = int(np.searchsorted(hits, start + LEAST))
@@ -38,8 +39,13 @@ def cut_points(ids: np.ndarray) -> list[int]:
     return ends
 
 
-def digest(payload: bytes) -> bytes:
-    return hashlib.sha256(payload).digest()
+def digest(ids: np.ndarray) -> bytes:
+    """A chunk's address: the SHA-256 of its ids as little-endian 32-bit integers, however they are stored."""
+    return hashlib.sha256(ids.astype("<u4").tobytes()).digest()
+
+
+def unpack(payload: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(payload, "<u2" if len(payload) == 2 * n else "<u4").astype("<u4")
 
 
 def merkle(leaves: list[bytes]) -> bytes:
@@ -74,8 +80,8 @@ def shift_crc(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
 def write_store(ws: Workspace, docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text") -> dict:
     """Encodes all documents and writes ``chunks``, ``recipes`` and ``manifest`` below the workspace.
 
-    * ``chunks`` (digest, n, payload): each distinct chunk of ids once, as little-endian 32-bit integers
-      compressed by Parquet; its address is the SHA-256 of these bytes.
+    * ``chunks`` (digest, n, payload): each distinct chunk of ids once, little-endian in 16 bits where
+      the vocabulary allows, else 32; its address is the SHA-256 of its ids in 32 bits.
     * ``recipes`` (doc_id, start, n_tokens, digests, sizes, root), range-partitioned in ascending order of
       doc_id (nulls first, ties by content): the chunks of each document, its place in the stream of all
       ids, and the Merkle root of its chunks.
@@ -93,6 +99,7 @@ def write_store(ws: Workspace, docs: DataFrame, tokenizer_path: str, end_id: int
         from nestwell.llm._tokens import encoder
 
         enc, seen = encoder(spec.value), set()
+        width = "<u2" if max(enc.tok.get_vocab_size(), end_id or 0) < 2**16 else "<u4"
         kind = pa.struct([("digest", pa.binary()), ("n", pa.int32()), ("payload", pa.binary())])
         for batch in batches:
             cols = [[], [], [], [], []]
@@ -102,12 +109,11 @@ def write_store(ws: Workspace, docs: DataFrame, tokenizer_path: str, end_id: int
                     ids = np.append(ids, np.array([end_id], "<u4"))
                 digests, sizes, fresh, at = [], [], [], 0
                 for end in cut_points(ids):
-                    payload = ids[at:end].astype("<u4").tobytes()
-                    digests.append(d := digest(payload))
+                    digests.append(d := digest(ids[at:end]))
                     sizes.append(end - at)
                     if d not in seen:
                         seen.add(d)
-                        fresh.append({"digest": d, "n": end - at, "payload": payload})
+                        fresh.append({"digest": d, "n": end - at, "payload": ids[at:end].astype(width).tobytes()})
                     at = end
                 for c, v in zip(cols, (len(ids), merkle(digests), digests, sizes, fresh), strict=True):
                     c.append(v)
@@ -118,12 +124,12 @@ def write_store(ws: Workspace, docs: DataFrame, tokenizer_path: str, end_id: int
     fresh = encoded.select(F.explode("fresh").alias("c")).select("c.*")
     chunks = ws.stage(fresh.groupBy("digest").agg(F.first("n").alias("n"), F.first("payload").alias("payload")), "chunks")
     recipes = prefix_sums(ws, encoded.drop("fresh"), ["doc_id", "root"], "n_tokens", "start")
-    manifest = ws.stage(_manifest(recipes), "manifest")
+    manifest = _manifest(ws, recipes)
     ws.drop(encoded)
     return {"chunks": chunks, "recipes": recipes, "manifest": manifest}
 
 
-def _manifest(recipes: DataFrame) -> DataFrame:
+def _manifest(ws: Workspace, recipes: DataFrame) -> DataFrame:
     """level, node, n_docs, n_tokens, root: the Merkle tree over all documents in stream order.
 
     A node of level 0 covers the documents that start within 2**16 ids of the stream, one of level k
@@ -131,14 +137,15 @@ def _manifest(recipes: DataFrame) -> DataFrame:
     """
     root = F.udf(lambda nodes: merkle([bytes(x.root) for x in nodes]), "binary")
     level = recipes.select(F.shiftright("start", 16).alias("node"), F.col("start").alias("below"), F.lit(1).cast("long").alias("n_docs"), "n_tokens", "root")
-    out = None
+    levels = []
     for k in range(6):
         level = level.groupBy("node").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("below", "root"))).alias("nodes"))
         level = level.select("node", "n_docs", "n_tokens", root("nodes").alias("root"))
-        here = level.select(F.lit(k).alias("level"), "*")
-        out = here if out is None else out.union(here)
+        if k == 0:
+            level = ws.stage(level, "documents")
+        levels.append(level.select(F.lit(k).alias("level"), "*"))
         level = level.select(F.shiftright("node", 10).alias("node"), F.col("node").alias("below"), "n_docs", "n_tokens", "root")
-    return out
+    return reduce(DataFrame.union, levels)
 
 
 def verify_store(store: dict) -> DataFrame:
@@ -152,11 +159,9 @@ def verify_store(store: dict) -> DataFrame:
         import zlib
 
         for batch in batches:
-            payloads = [x.as_py() for x in batch.column("payload")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("digest"), pa.array([len(p) // 4 for p in payloads], pa.int64()), pa.array([zlib.crc32(p) for p in payloads], pa.int64()), pa.array([digest(p) == d.as_py() for p, d in zip(payloads, batch.column("digest"), strict=True)], pa.bool_())],
-                ["digest", "n", "crc", "sound"],
-            )
+            chunks = [unpack(p.as_py(), n.as_py()) for p, n in zip(batch.column("payload"), batch.column("n"), strict=True)]
+            crcs, sound = [zlib.crc32(c.tobytes()) for c in chunks], [digest(c) == d.as_py() for c, d in zip(chunks, batch.column("digest"), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(map(len, chunks), pa.int64()), pa.array(crcs, pa.int64()), pa.array(sound, pa.bool_())], ["digest", "n", "crc", "sound"])
 
     def uses(batches):
         for batch in batches:
@@ -183,11 +188,11 @@ def verify_store(store: dict) -> DataFrame:
 def read_documents(store: dict) -> DataFrame:
     """doc_id, start and ids (array<int>) rebuilt from recipes and chunks, one row per document."""
     uses = store["recipes"].select("doc_id", "start", F.posexplode("digests").alias("seq", "digest"))
-    parts = uses.join(store["chunks"], "digest").groupBy("doc_id", "start").agg(F.sort_array(F.collect_list(F.struct("seq", "payload"))).alias("parts"))
+    parts = uses.join(store["chunks"], "digest").groupBy("doc_id", "start").agg(F.sort_array(F.collect_list(F.struct("seq", "n", "payload"))).alias("parts"))
 
     def join(batches):
         for batch in batches:
-            ids = [np.frombuffer(b"".join(p["payload"] for p in x.as_py()), "<u4").astype(np.int32) for x in batch.column("parts")]
+            ids = [np.concatenate([unpack(p["payload"], p["n"]) for p in x.as_py()]).astype(np.int32) for x in batch.column("parts")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "start", "ids"])
 
     return parts.mapInArrow(join, "doc_id long, start long, ids array<int>")
