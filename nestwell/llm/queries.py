@@ -59,6 +59,12 @@ def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_near(_table(spark, sf_dir, "documents"), threshold=0.8, size=4)
 
 
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nestwell.llm.decontaminate import decontaminate, report
+
+    return report(decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": secret_scan,
@@ -68,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_pii": pii,
         "op6_exact_dedup": exact_dedup,
         "op7_near_dedup": near_dedup,
+        "op8_decontamination": decontamination,
     }
 
 
@@ -77,4 +84,17 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                    doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256, false AS in_history
             FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
+        "op8_decontamination": r"""
+            WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM documents),
+            i AS (SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM benchmark),
+            iw AS (SELECT DISTINCT item_id, least(10, len(w)) AS size, array_to_string(w[k:k + least(10, len(w)) - 1], ' ') AS win
+                   FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 10 + 2))) AS k FROM i WHERE len(w) > 0)),
+            sizes AS (SELECT DISTINCT size FROM iw),
+            dw AS (SELECT doc_id, size, k, array_to_string(w[k:k + size - 1], ' ') AS win
+                   FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM d, sizes WHERE len(w) >= size)),
+            hit AS (SELECT dw.doc_id, dw.k, dw.size, iw.item_id FROM dw JOIN iw ON dw.size = iw.size AND dw.win = iw.win),
+            cov AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + size)) AS p FROM hit) GROUP BY doc_id),
+            its AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM hit) GROUP BY doc_id)
+            SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+            FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)""",
     }
