@@ -71,6 +71,12 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"))
 
 
+def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nestwell.llm.chat import format_chat
+
+    return format_chat(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": secret_scan,
@@ -82,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_near_dedup": near_dedup,
         "op8_decontamination": decontamination,
         "op9_quality": quality,
+        "op10_chat_format": chat_format,
     }
 
 
