@@ -49,7 +49,7 @@ def point_get(spark, d):
     return ordered.point(_orders(spark, d), "o_orderkey", 4242)
 
 
-@query(f"SELECT w.pos, w.o_orderkey, o_custkey, o_totalprice FROM (VALUES (0, 5), (1, 99999999), (2, 77), (3, 5)) AS w(pos, o_orderkey) LEFT JOIN {_ORDERS} USING (o_orderkey)")
+@query(f"SELECT w.pos, w.o_orderkey::BIGINT AS o_orderkey, o_custkey, o_totalprice FROM (VALUES (0, 5), (1, 99999999), (2, 77), (3, 5)) AS w(pos, o_orderkey) LEFT JOIN {_ORDERS} USING (o_orderkey)")
 def multi_get(spark, d):
     want = spark.createDataFrame([(0, 5), (1, 99999999), (2, 77), (3, 5)], "pos int, o_orderkey bigint")
     return ordered.multi_get(_orders(spark, d), "o_orderkey", want).select("pos", "o_orderkey", "o_custkey", "o_totalprice")
