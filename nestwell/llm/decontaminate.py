@@ -37,14 +37,14 @@ def _pair(a: Column, b: Column) -> Column:
 
 
 def _occurrences(docs: DataFrame, wanted: DataFrame, pairs: bool) -> DataFrame:
-    """Documents' columns, ``w`` (words), ``at`` (word number from 1) and ``wanted``'s, where its ``token`` occurs.
+    """Documents' columns, ``at`` (place in ``w`` from 1) and ``wanted``'s, where its ``token`` occurs.
 
-    Words are exploded, hashed with their successor and looked up in one pipelined pass; nothing is shuffled.
+    Shingles are hashed within the row and exploded as numbers, which are looked up as they pass: one
+    pipelined pass, nothing is shuffled.
     """
-    last = F.when(F.col("at") < F.size("w"), F.try_element_at("w", F.col("at") + 1))
-    each = docs.select("*", F.posexplode("w").alias("_p", "_w")).withColumn("at", F.col("_p") + 1)
-    token = _pair(F.col("_w"), last) if pairs else F.xxhash64("_w")
-    return each.select(*docs.columns, "at", token.alias("token")).join(F.broadcast(wanted), "token")
+    tokens = F.transform("w", lambda x, k: _pair(x, F.get("w", k + 1)) if pairs else F.xxhash64(x))
+    each = docs.select("*", F.posexplode(tokens).alias("_p", "token"))
+    return each.select(*docs.columns, (F.col("_p") + 1).alias("at"), "token").join(F.broadcast(wanted), "token")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -69,10 +69,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
     plain = id_and_text(docs, id_col, text_col)
     named = items.select(F.col(f"`{item_col}`").cast("string").alias("item_id"), F.coalesce(F.col(f"`{item_text_col}`").cast("string"), F.lit("")).alias("text")).filter("item_id is not null")
     wins = ws.stage(windows(named, window), "windows")
-    # empty strings stand at either end only: dropping them leaves the words
-    split = F.slice(F.col("s"), F.when(F.element_at("s", 1) == "", 2).otherwise(1), F.size("s"))
-    trimmed = plain.select("doc_id", F.xxhash64("text").alias("_key"), _split(F.col("text")).alias("s")).select("doc_id", "_key", split.alias("s"))
-    whole = trimmed.select("doc_id", "_key", F.when((F.size("s") > 0) & (F.try_element_at("s", F.lit(-1)) == ""), F.slice("s", 1, F.greatest(F.lit(0), F.size("s") - 1))).otherwise(F.col("s")).alias("w"))
+    # empty strings stand at either end only and belong to no window: they stay, and aren't counted
+    whole = plain.select("doc_id", F.xxhash64("text").alias("_key"), _split(F.col("text")).alias("w"))
+    n_words = F.size("w") - (F.get("w", F.lit(0)) == "").cast("int") - ((F.size("w") > 1) & (F.element_at("w", -1) == "")).cast("int")
     hits = None
     for pairs in (True, False):
         kind = wins.filter("size > 1" if pairs else "size = 1")
@@ -82,7 +81,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
             found = _block_hits(ws, whole, part, pairs)
             hits = found if hits is None else hits.union(found)
     # one row for each document without a join: the words are counted where they are split
-    counted = whole.select("doc_id", "_key", F.size("w").alias("n_words"))
+    counted = whole.select("doc_id", "_key", n_words.alias("n_words"))
     all_rows = counted.groupBy("doc_id", "_key").agg(F.max("n_words").cast("long").alias("n_words"), F.count("*").cast("int").alias("_rows"))
     if hits is None:
         spans = docs.sparkSession.createDataFrame([], "doc_id long, _key long, spans array<struct<start: int, end: int>>, items array<string>")
@@ -96,7 +95,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
 
 
 def _block_hits(ws: Workspace, docs: DataFrame, wins: DataFrame, pairs: bool) -> DataFrame:
-    """doc_id, _key, item_id, start, end (words from 0, end exclusive) of every occurrence of the windows."""
+    """doc_id, _key, item_id, start, end (places in ``w`` from 0, end exclusive) of every occurrence of the windows."""
     places = F.explode(F.sequence(F.lit(1), F.col("size") - 1)) if pairs else F.explode(F.array(F.lit(1)))
     mine = wins.select("item_id", "words", "size", places.alias("off"))
     word = lambda k: F.element_at("words", k)
