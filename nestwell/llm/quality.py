@@ -18,8 +18,9 @@ from nestwell.llm._common import id_and_text
 #: Rows that train the scorer, at most, and the size of its hashed feature space.
 TRAIN_ROWS, DIMS = 8_192, 1 << 12
 _ODD = frozenset("#$%&*@^~<>{}|\\=!")
-_LETTER = re.compile(r"[^\W\d_]")
 _RUN = re.compile(r"(.)\1+")
+#: Letters of ASCII and Latin-1 by case, and digits; others stand for themselves in a shape.
+_FOLD = {c: "A" if chr(c).isupper() else "a" if chr(c).isalpha() else "0" for c in range(256) if chr(c).isalnum()}
 #: Labellers: each calls a text bad from its first bound on and good below its second, and abstains between.
 LABELLERS = {
     "odd_marks": (0.3, 0.05),
@@ -36,16 +37,23 @@ LABELLERS = {
 _words: dict[str, tuple] = {}
 
 
+def _feature(shape: str) -> int:
+    return zlib.crc32(shape.encode("utf-8", "surrogatepass")) % DIMS
+
+
+_LOWER, _TITLE = _feature("a"), _feature("Aa")
+
+
 def _word(w: str) -> tuple:
-    """(feature, odd marks, ends oddly, all capitals, shouts, bare, ends a sentence) of a word, kept up to a bounded number."""
+    """(feature, flags or None) of a word, kept up to a bounded number; flags are odd marks, ends oddly, all
+    capitals, shouts, bare, ends a sentence."""
     found = _words.get(w)
     if found is None:
         head = w[:64]
-        shape = _RUN.sub(r"\1", _LETTER.sub(lambda m: "A" if m[0].isupper() else "a", head))
-        shape = re.sub(r"\d+", "0", shape)
         odd = sum(c in _ODD for c in w)
-        found = (zlib.crc32(shape.encode("utf-8", "surrogatepass")) % DIMS, odd, w[-1] in _ODD, w.isupper() and len(w) > 1, w[-1] == "!", not any(map(str.isalnum, head)), w[-1] in ".?")
-        if len(_words) >= 500_000:
+        flags = (odd, w[-1] in _ODD, w.isupper() and len(w) > 1, w[-1] == "!", not any(map(str.isalnum, head)), w[-1] in ".?")
+        found = (_feature(_RUN.sub(r"\1", head.translate(_FOLD))), flags if any(flags) else None)
+        if len(_words) >= 250_000:
             _words.clear()
         if len(w) <= 64:
             _words[w] = found
@@ -63,13 +71,24 @@ def measure(text: str) -> tuple[int, list[float], dict[int, float]]:
     if not n:
         return 0, [1.0] * len(LABELLERS), {}
     counts = Counter(words)
-    sums, out = [0] * 6, {}
+    sums, out, lower, title = [0] * 6, {}, 0, 0
     for w, c in counts.items():
-        k, *flags = _word(w)
+        if w.isalpha():  # most words: their shape shows at once
+            if w.islower():
+                lower += c
+                continue
+            if w.istitle() and len(w) > 1:
+                title += c
+                continue
+        k, flags = _word(w)
         out[k] = out.get(k, 0) + c
-        for j, f in enumerate(flags):
-            if f:
-                sums[j] += f * c
+        if flags:
+            for j, f in enumerate(flags):
+                if f:
+                    sums[j] += f * c
+    for k, c in ((_LOWER, lower), (_TITLE, title)):
+        if c:
+            out[k] = out.get(k, 0) + c
     odd, ends, capital, shouts, bare, stops = (x / n for x in sums)
     again = sum(map(operator.eq, words, islice(words, 1, None))) / n
     long = n > 30
