@@ -139,10 +139,24 @@ class Tx:
         self._base, self._base_ttl = lay_over(self._base, delta, drops), lay_ttl_over(self._base_ttl, ttl, drops)
 
     def bulk(self, delta: DataFrame | None = None, ttl: DataFrame | None = None, drops: list[str] | None = None) -> None:
-        """A layer of many rows: path, key, kind, value, next_int, deleted, one per key."""
+        """A layer of many rows: path, key, kind, value, next_int, deleted, one per key.
+
+        The rows are staged at once: they often come from this transaction's own view, and a view over its
+        own past would double its plan with every layer.
+        """
         self.need_write()
         self._flush()
-        self._push(delta, ttl, drops or [])
+        delta, ttl = self._staged(delta), self._staged(ttl)
+        if delta is not None or ttl is not None or drops:
+            self._push(delta, ttl, drops or [])
+
+    def _staged(self, df: DataFrame | None) -> DataFrame | None:
+        if df is None:
+            return None
+        path = f"{self.store.root}/staging/{self._id}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        return None if out.isEmpty() else out
 
     @property
     def entries(self) -> DataFrame:
@@ -319,6 +333,7 @@ class Tx:
         if self.open:
             self.open = False
             if self.writable:
+                self.store.files.delete(f"staging/{self._id}")
                 self.store.unlock()
             else:
                 self.store.readers.pop(self._id, None)
