@@ -7,13 +7,29 @@ import re
 
 import numpy as np
 
-#: Anything but characters that every library classes alike and that keep their class in lower case.
-_NOT_PLAIN = re.compile(r"[^\n\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]")
+#: Latin-1 bytes that every library classes alike and that keep their class in lower case: newline, ASCII's printable part, letters.
+_PLAIN = bytes(c for c in range(256) if c == 10 or 32 <= c <= 126 or c >= 192 and c not in (215, 247))
 #: The patterns of the two pre-tokenizers that the fast engine knows, as they stand in the files or the library.
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WORD_ENDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: The second for plain characters.
+#: The second for plain lower-case characters; and without apostrophes, its pre-tokens that aren't letters.
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+_MARKS = re.compile(r"[^a-zß-öø-ÿ\s](?:(?<![0-9])[^a-zß-öø-ÿ0-9\s]+)?")
+
+
+def is_plain(text: str) -> bool:
+    try:
+        return not text.encode("latin-1").translate(None, _PLAIN)
+    except UnicodeEncodeError:
+        return False
+
+
+def spaced_words(text: str) -> str:
+    """A plain text's pre-tokens in lower case, each followed by a blank."""
+    text = text.lower()
+    if "'" in text:
+        return " ".join([*_WORDS.findall(text), ""])
+    return _MARKS.sub(r" \g<0> ", text.replace("\n", " ")) + " "
 
 
 def byte_of_letter() -> dict[str, int]:
@@ -84,7 +100,7 @@ class Encoder:
             self.fast = engine.encode_ordinary
         elif table and pre.get("type") == "Sequence" and pre["pretokenizers"][0].get("pattern", {}).get("Regex") == _WORD_ENDS:
             engine = tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=table, special_tokens={})
-            self.fast = lambda text: engine.encode_ordinary(" ".join([*_WORDS.findall(text.lower()), ""]))
+            self.fast = lambda text: engine.encode_ordinary(spaced_words(text))
 
     def ids(self, text: str) -> np.ndarray:
         return self.encode(text)[0]
@@ -95,7 +111,7 @@ class Encoder:
             return np.empty(0, "<u4"), 1, 0
         if len(text) > self.chunk:
             return self.resync(text)
-        if self.fast is not None and not any(s in text for s in self.specials) and not _NOT_PLAIN.search(text):
+        if self.fast is not None and not any(s in text for s in self.specials) and is_plain(text):
             return np.array(self.fast(text), "<u4"), 1, 0
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4"), 1, 0
 
