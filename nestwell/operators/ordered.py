@@ -65,9 +65,13 @@ def seek_lower(df: DataFrame, key: str, value: Any) -> DataFrame:
 
 
 def seek_parked(df: DataFrame, key: str, value: Any) -> DataFrame:
-    """From ``value`` if it is a key, else from the one before it, else from the first key."""
-    at = df.agg(F.coalesce(F.max(F.when(F.col(key) <= F.lit(value), F.col(key))), F.min(key)).alias("_at"))
-    return df.crossJoin(F.broadcast(at)).where(F.col(key) >= F.col("_at")).drop("_at").orderBy(key)
+    """From ``value`` if it is a key, else from the one before it, else from the first key.
+
+    The place is looked up first, by a maximum over a range that the scan can skip by, so that the rows
+    themselves are read by a range as well.
+    """
+    at = df.where(F.col(key) <= F.lit(value)).agg(F.max(key).alias("at")).first()["at"]
+    return (df if at is None else df.where(F.col(key) >= F.lit(at))).orderBy(key)
 
 
 def page_after(df: DataFrame, key: str, token: Any | None, limit: int) -> DataFrame:
