@@ -12,7 +12,7 @@ from typing import BinaryIO
 
 from pyspark.sql import functions as F
 
-from nestwell.errors import InvalidStore, StoreError
+from nestwell.errors import InvalidStore
 from nestwell.sources.store import Manifest, Options, Snapshot, Store
 
 
@@ -132,4 +132,4 @@ def info(store: Store) -> dict:
 
 def require(root: str) -> None:
     if not os.path.isdir(os.path.join(root, "manifest")):
-        raise InvalidStore(f"{root}: no store here") from StoreError()
+        raise InvalidStore(f"{root}: no store here")

@@ -31,6 +31,8 @@ FORMAT = 1
 DELTA = "path string, key binary, kind string, value binary, next_int bigint, deleted boolean"
 TTL_DELTA = "path string, key binary, expires_at_ms bigint"
 CHANGES = "tx_id bigint, seq bigint, bucket_path string, key binary, op string"
+#: Rows of a data file at most, so that one is never too large to be hashed as a whole.
+MAX_FILE_ROWS = 1_000_000
 #: Segments over the oldest one before a commit folds them.
 FOLD_AFTER = 8
 
@@ -359,27 +361,28 @@ class Store:
             if df is None:
                 continue
             name = f"data/{kind}-{run}"
-            df.repartitionByRange("path", "key").sortWithinPartitions("path", "key").write.parquet(f"{self.root}/{name}")
+            df.repartitionByRange("path", "key").sortWithinPartitions("path", "key").write.option("maxRecordsPerFile", MAX_FILE_ROWS).parquet(f"{self.root}/{name}")
             self.hook(f"after-{kind}-write")
             setattr(seg, kind, name)
-            for f, size in self.files.list(name):
-                if f.endswith(".parquet"):
-                    seg.files[f"{name}/{f}"] = {"bytes": size, "sha256": hashlib.sha256(self.files.read(f"{name}/{f}")).hexdigest()}
+            sizes = {f"{name}/{f}": size for f, size in self.files.list(name) if f.endswith(".parquet")}
+            seg.files |= {f: {"bytes": sizes[f], "sha256": h} for f, h in self._hashes(list(sizes)).items()}
         if delta is not None:
             seg.rows = self.spark.read.schema(DELTA).parquet(f"{self.root}/{seg.entries}").count()
         return seg
 
+    def _hashes(self, names: list[str]) -> dict[str, str]:
+        """SHA-256 of files by name, computed where they are read; unreadable ones are left out."""
+        there = {f"{d}/{f}" for d in {n.rpartition("/")[0] for n in names} for f, _ in self.files.list(d)}
+        paths = [f"{self.root}/{n}" for n in names if n in there]
+        if not paths:
+            return {}
+        found = self.spark.read.format("binaryFile").option("ignoreCorruptFiles", "true").load(paths).select("path", F.sha2("content", 256).alias("sha256"))
+        return {"/".join(r.path.split("/")[-3:]): r.sha256 for r in found.collect()}
+
     def check_segment(self, seg: dict) -> list[str]:
         """Files that are missing or whose content has another hash than the manifest says."""
-        bad = []
-        for name, want in seg["files"].items():
-            try:
-                ok = hashlib.sha256(self.files.read(name)).hexdigest() == want["sha256"]
-            except Exception:
-                ok = False
-            if not ok:
-                bad.append(name)
-        return bad
+        found = self._hashes(list(seg["files"]))
+        return [n for n, want in seg["files"].items() if found.get(n) != want["sha256"]]
 
     def publish(self, m: Manifest, staged: Segment | None) -> None:
         if staged is not None:
