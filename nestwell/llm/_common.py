@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +67,31 @@ class Workspace:
             return
 
 
+def frugal(run: Callable[[Iterator], Iterator], *forget: Callable[[], None]) -> Callable[[Iterator], Iterator]:
+    """A task's function that hands memory back at its end: workers live on and serve later operators, too."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release(forget)
+
+    return wrapped
+
+
+def release(forget: tuple[Callable[[], None], ...]) -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    for f in forget:
+        f()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     """Only what an operator needs, under names of its own, so that other columns can't clash. Null text is empty."""
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), *more)

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nestwell.llm._common import Workspace, id_and_text, prefix_sums
+from nestwell.llm._common import Workspace, frugal, id_and_text, prefix_sums
 
 DIMS, BITS = 4, 8
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, curve_key long"
@@ -105,7 +105,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 1024, end_id: int |
             row += batch.num_rows
             yield pa.RecordBatch.from_arrays([rows, batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], ["row", "doc_id", "size", "key", "ids"])
 
-    encoded = ws.stage(id_and_text(docs, id_col, text_col).mapInArrow(encode, "row long, doc_id long, size long, key long, ids binary"), "encoded")
+    encoded = ws.stage(id_and_text(docs, id_col, text_col).mapInArrow(frugal(encode), "row long, doc_id long, size long, key long, ids binary"), "encoded")
     places = prefix_sums(ws, encoded.select("key", "doc_id", "row", "size"), ["key", "doc_id", "row"], "size", "at").select("row", "at")
 
     def cut(batches):
@@ -125,4 +125,4 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 1024, end_id: int |
             kinds = [pa.int64()] * 8 + [pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)][: 8 + with_ids], list(out)[: 8 + with_ids])
 
-    return encoded.join(places, "row").select("doc_id", "size", "key", "ids", "at").mapInArrow(cut, PIECES + ", ids array<int>" * with_ids)
+    return encoded.join(places, "row").select("doc_id", "size", "key", "ids", "at").mapInArrow(frugal(cut), PIECES + ", ids array<int>" * with_ids)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nestwell.llm._common import id_and_text
+from nestwell.llm._common import frugal, id_and_text
 
 #: Rows that train the scorer, at most, and the size of its hashed feature space.
 TRAIN_ROWS, DIMS = 8_192, 1 << 12
@@ -53,13 +53,17 @@ def _word(w: str) -> tuple:
         odd = sum(c in _ODD for c in w)
         flags = (odd, w[-1] in _ODD, w.isupper() and len(w) > 1, w[-1] == "!", not any(map(str.isalnum, head)), w[-1] in ".?")
         found = (_feature(_RUN.sub(r"\1", head.translate(_FOLD))), flags if any(flags) else None)
-        if len(_words) >= 250_000:
+        if len(_words) >= 50_000:
             _words.clear()
         if len(w) <= 64:
             _words[w] = found
     return found
 
 
+def forget() -> None:
+    _words.clear()
+
+
 def measure(text: str) -> tuple[int, list[float], dict[int, float]]:
     """Words of a whole text, what each labeller looks at, and hashed features with their values.
 
@@ -165,7 +169,7 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id",
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(["".join("-+?"[v] for v in vote(measure(x.as_py())[1])) for x in batch.column("text")], pa.string())], ["ballot"])
 
-    found = rows.select("text").mapInArrow(ballots, "ballot string").groupBy("ballot").count().collect()
+    found = rows.select("text").mapInArrow(frugal(ballots, forget), "ballot string").groupBy("ballot").count().collect()
     patterns = np.array([["-+".find(c) for c in r["ballot"]] for r in found], np.int64).reshape(-1, len(LABELLERS))
     model = fit_labellers(patterns, np.array([r["count"] for r in found], float))
     posterior = {tuple(p): q for p, q in zip(patterns.tolist(), model["posterior"], strict=True)}
@@ -177,7 +181,7 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id",
             seen = [measure(x.as_py()) for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array([vote(s) for _, s, _ in seen], pa.list_(pa.int32())), pa.array([list(f) for _, _, f in seen], pa.list_(pa.int32())), pa.array([list(f.values()) for _, _, f in seen], pa.list_(pa.float64()))], ["h", "votes", "k", "v"])
 
-    sample = [] if bound is None else hashed.filter(F.col("h") <= bound).mapInArrow(read, "h long, votes array<int>, k array<int>, v array<double>").dropDuplicates(["h"]).collect()
+    sample = [] if bound is None else hashed.filter(F.col("h") <= bound).mapInArrow(frugal(read, forget), "h long, votes array<int>, k array<int>, v array<double>").dropDuplicates(["h"]).collect()
     sample.sort(key=lambda r: r["h"])
     model["weights"] = fit_scorer([np.array([r["k"], r["v"]], float).T.reshape(-1, 2) for r in sample], np.array([posterior[tuple(r["votes"])] for r in sample]))
     return model
@@ -198,11 +202,14 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.5, id_col: str = "d
     def run(batches):
         w = weights.value.tolist()
         for batch in batches:
-            seen = [measure(x.as_py()) for x in batch.column("text")]
-            n, out = [s[0] for s in seen], [_quality(s[2], w) for s in seen]
+            n, out = [], []
+            for x in batch.column("text"):
+                words, _, feats = measure(x.as_py())
+                n.append(words)
+                out.append(_quality(feats, w))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(out, pa.float64()), pa.array([q >= threshold for q in out], pa.bool_())], ["doc_id", "n_words", "quality", "accepted"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_words long, quality double, accepted boolean")
+    return id_and_text(docs, id_col, text_col).mapInArrow(frugal(run, forget), "doc_id long, n_words long, quality double, accepted boolean")
 
 
 def classify(docs: DataFrame, threshold: float = 0.5, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,4 +237,4 @@ def drop_rejected(docs: DataFrame, threshold: float = 0.5, train_rows: int = TRA
         for batch in batches:
             yield batch.filter(pa.array([_quality(measure(str(x.as_py() or ""))[2], w) >= threshold for x in batch.column(where)], pa.bool_()))
 
-    return docs.mapInArrow(run, T.StructType(docs.schema.fields))
+    return docs.mapInArrow(frugal(run, forget), T.StructType(docs.schema.fields))

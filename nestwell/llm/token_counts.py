@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from nestwell.llm._common import id_and_text
+from nestwell.llm._common import frugal, id_and_text
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, n_chunks long, n_widened long"
 
@@ -39,4 +39,4 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024, chunk_
             longs = [pa.array(x, pa.int64()) for x in (n_bytes, n_tokens, chunks, widened)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *longs[:2], pa.array([n > limit for n in n_tokens], pa.bool_()), *longs[2:]], ["doc_id", "n_bytes", "n_tokens", "over_limit", "n_chunks", "n_widened"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, SCHEMA)
+    return id_and_text(docs, id_col, text_col).mapInArrow(frugal(run), SCHEMA)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nestwell.llm._common import Workspace, id_and_text, prefix_sums
+from nestwell.llm._common import Workspace, frugal, id_and_text, prefix_sums
 
 #: The rolling hash covers this many ids; a chunk ends where its top MASK_BITS bits are zero.
 WINDOW, MASK_BITS, LEAST, MOST = 4, 10, 64, 8192
@@ -120,7 +120,7 @@ def write_store(ws: Workspace, docs: DataFrame, tokenizer_path: str, end_id: int
             kinds = (pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(kind))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["doc_id", "n_tokens", "root", "digests", "sizes", "fresh"])
 
-    encoded = ws.stage(id_and_text(docs, id_col, text_col).mapInArrow(encode, schema), "encoded")
+    encoded = ws.stage(id_and_text(docs, id_col, text_col).mapInArrow(frugal(encode), schema), "encoded")
     fresh = encoded.select(F.explode("fresh").alias("c")).select("c.*")
     chunks = ws.stage(fresh.groupBy("digest").agg(F.first("n").alias("n"), F.first("payload").alias("payload")), "chunks")
     recipes = prefix_sums(ws, encoded.drop("fresh"), ["doc_id", "root"], "n_tokens", "start")
@@ -178,10 +178,10 @@ def verify_store(store: dict) -> DataFrame:
             crc, tail = batch.column("crc").to_numpy(), batch.column("tail").to_numpy()
             yield batch.set_column(batch.schema.get_field_index("crc"), "crc", pa.array(shift_crc(crc, tail).astype(np.int64), pa.int64()))
 
-    found = store["chunks"].mapInArrow(read, "digest binary, n long, crc long, sound boolean")
-    wanted = store["recipes"].select("doc_id", "start", "digests", "sizes").mapInArrow(uses, "doc_id long, start long, digest binary, tail long")
+    found = store["chunks"].mapInArrow(frugal(read), "digest binary, n long, crc long, sound boolean")
+    wanted = store["recipes"].select("doc_id", "start", "digests", "sizes").mapInArrow(frugal(uses), "doc_id long, start long, digest binary, tail long")
     each = wanted.join(found, "digest", "left").select("doc_id", "start", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("crc", F.lit(0)).cast("long").alias("crc"), "tail", F.coalesce("sound", F.col("digest").isNull()).alias("sound"))
-    each = each.mapInArrow(shifted, "doc_id long, start long, n long, crc long, tail long, sound boolean")
+    each = each.mapInArrow(frugal(shifted), "doc_id long, start long, n long, crc long, tail long, sound boolean")
     return each.groupBy("doc_id", "start").agg(F.sum("n").alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32"), F.bool_and("sound").alias("sound"))
 
 
@@ -195,7 +195,7 @@ def read_documents(store: dict) -> DataFrame:
             ids = [np.concatenate([unpack(p["payload"], p["n"]) for p in x.as_py()]).astype(np.int32) for x in batch.column("parts")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "start", "ids"])
 
-    return parts.mapInArrow(join, "doc_id long, start long, ids array<int>")
+    return parts.mapInArrow(frugal(join), "doc_id long, start long, ids array<int>")
 
 
 def open_store(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, **columns) -> dict:
