@@ -102,10 +102,9 @@ def _block_hits(ws: Workspace, docs: DataFrame, wins: DataFrame, pairs: bool) ->
     mine = mine.withColumn("token", _pair(word(F.col("off")), word(F.col("off") + 1)) if pairs else F.xxhash64(word(F.col("off"))))
     mine = ws.stage(mine, "shingles")
     frequency = ws.stage(_occurrences(docs.select("w"), mine.select("token").distinct(), pairs).groupBy("token").agg(F.count("*").alias("n")), "frequency")
-    rarest = mine.join(F.broadcast(frequency), "token").groupBy("item_id", "words", "size").agg(F.min(F.struct("n", "off", "token")).alias("p"), F.count_distinct("token").alias("present"), F.first("size").alias("_s"))
-    # a window with a shingle that no document has occurs nowhere
-    total = mine.groupBy("item_id", "words").agg(F.count_distinct("token").alias("distinct"))
-    prefix = rarest.join(total, ["item_id", "words"]).filter("present = distinct").select("p.token", "p.off", "words", "size", "item_id")
+    # a window with a shingle that no document has occurs nowhere: its least frequency is 0
+    ranked = mine.join(F.broadcast(frequency), "token", "left").groupBy("item_id", "words", "size").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "token")).alias("p"))
+    prefix = ranked.filter("p.n > 0").select("p.token", "p.off", "words", "size", "item_id")
     at = _occurrences(docs, ws.stage(prefix, "prefix"), pairs)
     begin = F.col("at") - F.col("off")
     fits = at.filter((begin >= 0) & (begin + F.col("size") <= F.size("w")))
