@@ -3,20 +3,26 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from nestwell.llm._common import Workspace, id_and_text
+from nestwell.llm._common import Workspace, frugal, id_and_text
 
 #: 128 hashes: 32 bands of 4 miss a pair at similarity 0.8 once in 2e7; 4 low bits of each minimum are kept.
 HASHES, ROWS, BITS = 128, 4, 4
 BANDS = HASHES // ROWS
 #: Candidates go on to the sets unless their estimate is this many standard errors under the threshold.
 SIGMAS = 6.0
+#: Shingles of a group's rests that so many of its sets share count as common to the group.
+COMMON = 16
+#: Parts in which overlaps are counted for the bound on what two sets of a group share.
+LANES = 32
 _LANES = 0x1111111111111111
 
 
@@ -32,7 +38,7 @@ class _WordHash(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= 500_000:
+        if len(self) >= 100_000:
             self.clear()
         h = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 64:
@@ -43,6 +49,10 @@ class _WordHash(dict):
 _hashes = _WordHash()
 
 
+def forget() -> None:
+    _hashes.clear()
+
+
 def shingles(text: str, size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of runs of ``size`` words; a shorter text is one run, an empty one none.
 
@@ -119,29 +129,31 @@ def _signatures(rows: DataFrame, size: int) -> DataFrame:
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(sigs, longs), pa.array(bands, longs)], ["doc_id", "n_shingles", "set", "sig", "bands"])
 
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, set binary, sig array<long>, bands array<long>")
+    return rows.mapInArrow(frugal(run, forget), "doc_id long, n_shingles long, set binary, sig array<long>, bands array<long>")
 
 
 def components(ws: Workspace, edges: DataFrame) -> DataFrame:
     """node, label: the smallest node that each node of the undirected ``edges`` (u, v) reaches.
 
-    Every round hooks nodes to the least label among their neighbours and then jumps along labels, so
-    rounds grow with the logarithm of the longest path.  Each round is one aggregation, combined before
-    the shuffle, and joins that Spark may split; labels are staged, which also cuts the lineage.
+    In every round nodes take the least label within two steps, what their labels point at takes it, too,
+    and labels are followed once, so rounds grow far slower than paths.  Every node has an edge to itself,
+    which brings its own label without a join.  Aggregations combine before the shuffle and Spark may
+    split the joins; labels are staged, which also cuts the lineage.
     """
-    both = ws.stage(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    labels = ws.stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")).select(F.col("u").alias("node"), "label"), "labels")
+    ends = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = ws.stage(ends.union(ends.select("u", F.col("u").alias("v"))).distinct(), "edges")
+    labels = ws.stage(both.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label"), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("v"), F.col("label").alias("l")), "v").groupBy(F.col("u").alias("node")).agg(F.min("l").alias("near"))
-        hooked = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("new"))
-        # whoever the old label points at learns of the new one, too
-        roots = hooked.groupBy(F.col("label").alias("node")).agg(F.min("new").alias("root"))
-        known = hooked.join(roots, "node", "left").select("node", "label", F.least("new", F.coalesce("root", "new")).alias("new"))
-        known = ws.stage(known, "hooked")
-        jumped = known.join(known.select(F.col("node").alias("new"), F.col("new").alias("next")), "new", "left").select("node", F.least("new", F.coalesce("next", "new")).alias("label"), F.col("label").alias("old"))
+        after = labels.withColumn("old", F.col("label"))
+        for _ in range(2):
+            near = both.join(after.withColumnRenamed("node", "v"), "v")
+            after = near.groupBy(F.col("u").alias("node")).agg(F.min("label").alias("label"), F.max(F.when(F.col("u") == F.col("v"), F.col("old"))).alias("old"))
+        hooks = after.select(F.col("old").alias("node"), "label", F.lit(None).cast("long").alias("old"))
+        after = after.union(hooks).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
+        jumped = after.join(after.select(F.col("node").alias("label"), F.col("label").alias("next")), "label").select("node", F.col("next").alias("label"), "old")
         after = ws.stage(jumped, "labels")
         changed = not after.filter("label <> old").isEmpty()
-        ws.drop(labels, known)
+        ws.drop(labels)
         labels = after.select("node", "label")
         labels._staged_at = after._staged_at
         if not changed:
@@ -157,12 +169,12 @@ def link_near(docs: DataFrame, threshold: float = 0.8, size: int = 5, id_col: st
 
     1. Documents with equal sets form a class, represented by its smallest id; classes alone go on.
     2. Signatures of 128 minima; equal bands of 4 full minima make candidates.  In each bucket of a band
-       only pairs with a pivot are made, as many as rows.
-    3. b-bit signatures estimate their similarity by bit counts; hopeless pairs go.  Of the candidates
-       between two components the best is confirmed on the full sets, components merge, and so on until
-       no pivot pair joins two of them.
-    4. Last, in buckets that still hold several components, every pair across components is estimated and
-       confirmed.  So no link that bands can find is lost, and a bucket of copies never makes all its pairs.
+       only pairs with one of two pivots are made, two for a row.
+    3. b-bit signatures estimate their similarity by bit counts; hopeless pairs go.  Each set's best two
+       pivots are confirmed on the full sets, and components merge.
+    4. Where a bucket still holds several components, all its pairs across them that can be links are found
+       by bounds on set sizes and overlaps (see ``_left_over``), and confirmed.  So no link that bands can
+       find is lost, and a bucket of copies never makes all its pairs.
 
     Null or wordless texts have no set and are linked with nothing.  A null id is never a pair's end: its row
     has component_id null unless others reach it, and is kept.  Repeated rows fall into one class; all rows
@@ -186,7 +198,6 @@ def link_near(docs: DataFrame, threshold: float = 0.8, size: int = 5, id_col: st
 
 def _merge(ws: Workspace, rows: DataFrame, reps: DataFrame, threshold: float, size: int) -> DataFrame:
     """node, label of classes that are linked with others."""
-    spark = ws.spark
     each = reps.select("rep", F.explode("bands").alias("band"))
     shared = each.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
     buckets = ws.stage(each.join(shared, "band"), "buckets")
@@ -195,56 +206,112 @@ def _merge(ws: Workspace, rows: DataFrame, reps: DataFrame, threshold: float, si
     found = _sets(rows.join(near.select("doc_id"), "doc_id", "left_semi"), size)
     # partitioned by id once, for all confirmations; recomputed from the inputs if an executor is lost
     sets = found.join(near, ["doc_id", "set"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "hashes").persist(StorageLevel.DISK_ONLY)
-    edges, labels = None, spark.createDataFrame([], "node long, label long")
-    tried = spark.createDataFrame([], "u long, v long")
     floor, percent = least_estimate(threshold), round(threshold * 100)
-
-    def labelled() -> DataFrame:
-        return buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("label", "rep").alias("c"))
+    links: list[DataFrame] = []
 
     def estimated(pairs: DataFrame) -> DataFrame:
         pairs = pairs.join(sigs.select(F.col("rep").alias("u"), F.col("sig").alias("su")), "u").join(sigs.select(F.col("rep").alias("v"), F.col("sig").alias("sv")), "v")
         return pairs.withColumn("e", estimate(F.col("su"), F.col("sv"))).filter(F.col("e") >= floor).drop("su", "sv")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("hashes").alias("hu")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("hashes").alias("hv")), "v")
-        both = F.size(F.array_intersect("hu", "hv"))
-        sized = pairs.withColumn("both", both).withColumn("all", F.size("hu") + F.size("hv") - F.col("both"))
-        return sized.select("u", "v", (F.col("both") * 100 >= F.col("all") * percent).alias("linked"))
-
-    def take(pairs: DataFrame) -> bool:
-        """Confirms pairs, notes them as tried and merges components; whether any link is new."""
-        nonlocal edges, labels, tried
-        done = ws.stage(confirmed(pairs), "confirmed")
-        tried = tried.union(done.select("u", "v"))
-        new = done.filter("linked").select("u", "v")
-        if new.isEmpty():
-            return False
-        edges = new if edges is None else edges.union(new)
-        labels = components(ws, edges)
-        return True
-
-    ordered = [F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")]
-    turn = 0
-    while True:
-        here = ws.stage(labelled(), "labelled")
-        pivot = here.groupBy("band").agg(F.min_by(F.struct("rep", "c"), F.xxhash64("rep", "band", F.lit(turn))).alias("p"), F.min("c").alias("least"), F.max("c").alias("most")).filter("least <> most")
-        star = here.join(pivot, "band").filter("c <> p.c").select(F.col("p.rep").alias("a"), F.col("rep").alias("b"), F.col("p.c").alias("ca"), F.col("c").alias("cb"))
-        star = star.select(*ordered, F.least("ca", "cb").alias("cu"), F.greatest("ca", "cb").alias("cv")).distinct().join(tried, ["u", "v"], "left_anti")
-        best = estimated(star).groupBy("cu", "cv").agg(F.max_by(F.struct("u", "v"), F.struct("e", "u", "v")).alias("p")).select("p.*")
-        if not take(best):
-            break
-        ws.drop(here)
-        turn += 1
-    several = here.join(here.groupBy("band").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least <> most").select("band"), "band")
-    left, right = (several.select("band", F.col("rep").alias(r), F.col("c").alias(c)) for r, c in (("u", "cu"), ("v", "cv")))
-    rest = left.join(right, "band").filter("u < v and cu <> cv").select("u", "v").distinct().join(tried, ["u", "v"], "left_anti")
-    take(estimated(rest))
+    def beside(pairs: DataFrame) -> DataFrame:
+        return pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("hashes").alias("hu")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("hashes").alias("hv")), "v")
+
+    def merged(pairs: DataFrame) -> DataFrame:
+        """Labels after confirming these pairs on their sets, too."""
+        sized = beside(pairs.select("u", "v")).withColumn("both", F.size(F.array_intersect("hu", "hv")))
+        new = sized.filter(F.col("both") * 100 >= (F.size("hu") + F.size("hv") - F.col("both")) * percent)
+        links.append(ws.stage(new.select("u", "v"), "links"))
+        return components(ws, reduce(DataFrame.union, links))
+
+    turns = []
+    for turn in range(2):
+        pivot = buckets.groupBy("band").agg(F.min_by("rep", F.xxhash64("rep", "band", F.lit(turn))).alias("u"))
+        turns.append(buckets.join(pivot, "band").filter("rep <> u").select("u", F.col("rep").alias("v"), F.lit(turn).alias("turn")))
+    star = estimated(turns[0].union(turns[1]).distinct())
+    labels = merged(star.groupBy("v", "turn").agg(F.max_by("u", F.struct("e", "u")).alias("u")).select("u", "v").distinct())
+    here = ws.stage(_labelled(buckets, labels), "labelled")
+    left = ws.stage(_left_over(ws, here, reduce(DataFrame.union, links), labels, beside, threshold), "left_over")
+    labels = merged(estimated(left))
     sets.unpersist()
-    ws.drop(buckets, here)
+    ws.drop(buckets, here, left)
     return labels
 
 
+def _labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    return buckets.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("band", "rep", F.coalesce("label", "rep").alias("c"))
+
+
+def _left_over(ws: Workspace, here: DataFrame, links: DataFrame, labels: DataFrame, beside, threshold: float) -> DataFrame:
+    """u, v: every pair across components that shares a bucket and can still be a link, without making all pairs.
+
+    A bucket of two is one pair.  In a larger one each set x is taken apart by the set p of its largest
+    component's best-linked document, and by what COMMON or more sets of the group share beside it, as H:
+    a = |x & H| and the rest B = x - H.  For two sets x and y, |x & y| <= min(a_x, a_y) + |B_x & B_y|, while a link needs t / (1 + t) * (|x| + |y|).  So
+
+    * either their rests have nothing in common and both a are that large, a join on binned sizes; counted
+      by lanes of H the bound on |x & y & H| is the sum of the lesser counts, which is sharper;
+    * or they share one of the rarest shingles of their rests, as many as leave too few for a link behind
+      them: a prefix-filtered join, in which a shingle meets fewer than COMMON others.
+
+    Both keep every pair that could be a link, and what a large group shares takes part in neither.
+    """
+    t = threshold
+    sized = here.groupBy("band", "c").agg(F.count("*").alias("n"))
+    several = sized.groupBy("band").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max_by("c", F.struct("n", "c")).alias("top")).filter("parts > 1")
+    ends = links.select(F.col("u").alias("node")).union(links.select(F.col("v").alias("node"))).groupBy("node").agg(F.count("*").alias("degree"))
+    centers = ends.join(labels, "node").groupBy(F.col("label").alias("top")).agg(F.max_by("node", F.struct("degree", "node")).alias("center"))
+    several = ws.stage(several.join(centers, "top", "left").select("band", "n", "top", F.coalesce("center", "top").alias("p")), "several")
+    two = here.join(several.filter("n = 2").select("band"), "band").groupBy("band").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).select("u", "v")
+    many = here.join(several.filter("n > 2").select("band", "top", "p"), "band").select(F.col("p").alias("u"), F.col("rep").alias("v"), "c", "top").distinct()
+    apart = ws.stage(_taken_apart(beside(many).select(F.col("u").alias("p"), F.col("v").alias("x"), "c", "top", "hu", "hv")), "apart")
+    rest = apart.select("p", "x", F.explode("rest").alias("s"))
+    often = rest.groupBy("p", "s").agg(F.count("*").alias("df"))
+    counted = ws.stage(rest.join(often.filter("df > 1"), ["p", "s"]), "counted")
+    lane = F.pmod(F.col("s"), F.lit(LANES))
+    shared = counted.filter(F.col("df") >= COMMON).groupBy("p", "x").agg(F.count("*").alias("more"), F.array(*[F.count_if(lane == k) for k in range(LANES)]).alias("lanes2"))
+    apart = apart.select("p", "x", "c", "top", "n", "a", "lanes", F.size("rest").alias("b")).join(shared, ["p", "x"], "left").withColumn("more", F.coalesce("more", F.lit(0)))
+    lanes = F.when(F.col("lanes2").isNull(), F.col("lanes")).otherwise(F.zip_with("lanes", "lanes2", lambda q, r: q + r))
+    apart = apart.select("p", "x", "c", "top", "n", (F.col("a") + F.col("more")).alias("a"), (F.col("b") - F.col("more")).alias("b"), lanes.alias("lanes"))
+    apart = ws.stage(apart.withColumn("cap", F.col("a") * ((1 + t) / t) - F.col("n") + 1e-6), "sized")
+
+    bin_of = lambda c: F.floor(F.log(c) * 50).cast("int")
+    outer = apart.filter("c <> top").select("p", F.col("x").alias("u"), F.col("c").alias("cu"), F.col("n").alias("nu"), F.col("cap").alias("capu"), F.col("lanes").alias("lu")).filter(F.col("capu") >= F.col("nu") * t)
+    outer = outer.withColumn("bin", F.explode(F.sequence(bin_of(F.col("nu") * t), bin_of(F.greatest(F.lit(1.0), F.least("capu", F.col("nu") / t))))))
+    other = apart.select("p", F.col("x").alias("v"), F.col("c").alias("cv"), F.col("n").alias("nv"), F.col("cap").alias("capv"), F.col("lanes").alias("lv"), bin_of(F.col("n")).alias("bin"))
+    by_size = outer.join(other, ["p", "bin"]).filter("cu <> cv and nv <= capu and nu <= capv")
+    most = F.aggregate(F.zip_with("lu", "lv", lambda q, r: F.least(q, r)), F.lit(0).cast("long"), lambda acc, q: acc + q)
+    by_size = by_size.filter(most >= (F.col("nu") + F.col("nv")) * (t / (1 + t)) - 1e-6).select("u", "v")
+
+    # shingles that one set alone has stand first in the order of rarity and link nothing
+    need = F.greatest(F.lit(1), F.ceil(F.col("n") * t - F.col("a") - 1e-6).cast("int"))
+    rare = counted.filter(F.col("df") < COMMON).join(apart.select("p", "x", "c", "b", need.alias("need")), ["p", "x"])
+    mine = W.partitionBy("p", "x")
+    rare = rare.withColumn("rank", F.col("b") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("df", "s"))).filter("rank <= b - need + 1")
+    one = lambda r, c: rare.select("p", "s", F.col("x").alias(r), F.col("c").alias(c))
+    by_rest = one("u", "cu").join(one("v", "cv"), ["p", "s"]).filter("u < v and cu <> cv").select("u", "v")
+    pairs = two.union(by_size).union(by_rest)
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def _taken_apart(pairs: DataFrame) -> DataFrame:
+    """p, x, c, top, n, a, lanes, rest from pairs of sets: overlap sizes by lane, and what of hv isn't in hu."""
+
+    def run(batches):
+        for batch in batches:
+            n, a, lanes, rest = [], [], [], []
+            for hu, hv in zip(batch.column("hu"), batch.column("hv"), strict=True):
+                p, x = hu.values.to_numpy(), hv.values.to_numpy()
+                inside = np.isin(x, p, assume_unique=True)
+                n.append(len(x))
+                a.append(int(inside.sum()))
+                lanes.append(np.bincount(x[inside] % LANES, minlength=LANES))
+                rest.append(x[~inside])
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in ("p", "x", "c", "top")], pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(lanes, longs), pa.array(rest, longs)], ["p", "x", "c", "top", "n", "a", "lanes", "rest"])
+
+    return pairs.mapInArrow(frugal(run), "p long, x long, c long, top long, n long, a long, lanes array<long>, rest array<long>")
+
+
 def _sets(rows: DataFrame, size: int) -> DataFrame:
     def run(batches):
         for batch in batches:
@@ -252,7 +319,7 @@ def _sets(rows: DataFrame, size: int) -> DataFrame:
             digests = [_set_digest(h) if len(h) else None for h in hashes]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array([h.astype(np.int64) for h in hashes], pa.list_(pa.int64()))], ["doc_id", "set", "hashes"])
 
-    return rows.mapInArrow(run, "doc_id long, set binary, hashes array<long>")
+    return rows.mapInArrow(frugal(run, forget), "doc_id long, set binary, hashes array<long>")
 
 
 def drop_near(docs: DataFrame, threshold: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
