@@ -14,8 +14,8 @@ ASSIGN = rf"(?i:password|passwd|secret|token|api_?key){_VALUE}[A-Za-z0-9+/_.=-]+
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}+"
 #: Weak parts: they count only beside the parts that complete them.
-WEAK_ID = rf"(?i:client_?id|access_?key_?id|user_?name|user|login|account){_VALUE}[A-Za-z0-9@._-]{{3,64}}+"
-WEAK_SECRET = rf"(?i:pass|pwd|auth|private_?key|signing_?key|credential){_VALUE}[A-Za-z0-9+/_.=!@#-]{{6,128}}+"
+WEAK_ID = rf"(?i:client_?id|access_?key_?id|user_?name|user|login|account){_VALUE}[A-Za-z0-9@._-]{{3,}}+"
+WEAK_SECRET = rf"(?i:pass|pwd|auth|private_?key|signing_?key|credential){_VALUE}[A-Za-z0-9+/_.=!@#-]{{6,}}+"
 ENDPOINT = r"(?:https?|postgres|mysql|mongodb|redis|amqp|s3)://[A-Za-z0-9._:/@%?&=+-]+"
 BREAK = r"\n[\x20\t]*\n"
 KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint")
@@ -49,7 +49,7 @@ def scan_secrets(docs: DataFrame, reach: int = 200, id_col: str = "doc_id", text
     name), ``access`` (an access key id of 16 or more), ``hex`` (32 or more hexadecimal digits).
 
     Weak parts are identifiers (``weak_id``), short or loosely named secrets (``weak_secret``) and
-    addresses (``endpoint``).  They are joined with complementary parts by interval: two parts meet if they
+    addresses (``endpoint``), each as long as its value runs.  They are joined with complementary parts by interval: two parts meet if they
     lie in one scope (no blank line between them) and within ``reach`` code points.  A weak secret is
     reported beside an identifier, a weak identifier beside a secret, an endpoint beside both; strong
     findings complete weak ones as well.  Parts are sorted by place and swept once in either direction with

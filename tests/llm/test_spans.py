@@ -68,6 +68,13 @@ def test_weak_parts_need_their_complement(frame):
     assert spans(frame, "AKIAABCDEFGH1234 pwd=hunter22") == "access:0:16,weak_secret:17:29"
 
 
+def test_weak_spans_hold_whole_values(frame):
+    key, name = "Ab9/" * 200, "bob." * 50
+    assert spans(frame, f'user=bob private_key="{key}"') == "weak_id:0:8,weak_secret:9:822"
+    assert spans(frame, f"user={name} pass: hunter2!x") == "weak_id:0:205,weak_secret:206:221"
+    assert spans(frame, f"user=bob pass: {key * 100}") == "weak_id:0:8,weak_secret:9:80015"
+
+
 def test_scores(frame):
     def got(text):
         r = pii.report(pii.find_pii(frame([(1, text)]))).first()
