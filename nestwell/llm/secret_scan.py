@@ -14,9 +14,11 @@ ASSIGN = rf"(?i:password|passwd|secret|token|api_?key){_VALUE}[A-Za-z0-9+/_.=-]+
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}+"
 #: Weak parts: they count only beside the parts that complete them.
-WEAK_ID = rf"(?i:client_?id|access_?key_?id|user_?name|user|login|account){_VALUE}[A-Za-z0-9@._-]{{3,}}+"
-WEAK_SECRET = rf"(?i:pass|pwd|auth|private_?key|signing_?key|credential){_VALUE}[A-Za-z0-9+/_.=!@#-]{{6,}}+"
-ENDPOINT = r"(?:https?|postgres|mysql|mongodb|redis|amqp|s3)://[A-Za-z0-9._:/@%?&=+-]+"
+WEAK_ID = rf"(?i:client_?id|access_?key_?id|user_?name|user|login|account(?:_?name)?){_VALUE}[A-Za-z0-9@._-]{{3,}}+"
+_KEYS = r"(?:secret[_-]?)?access[_-]?key|(?:secret|account|shared|master|encryption)[_-]?key|pass[_-]?phrase"
+#: An access key id given to one of ``_KEYS`` is an identifier and does not complete itself.
+WEAK_SECRET = rf"(?:(?i:pass|pwd|auth|private_?key|signing_?key|credential){_VALUE}|(?i:{_KEYS}){_VALUE}(?!AKIA))[A-Za-z0-9+/_.=!@#-]{{6,}}+"
+ENDPOINT = r"(?:https?|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|rediss?|amqps?|s3)://[A-Za-z0-9._:/@%?&=+-]+"
 BREAK = r"\n[\x20\t]*\n"
 KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint")
 _NEVER = -(1 << 30)

@@ -75,6 +75,17 @@ def test_weak_spans_hold_whole_values(frame):
     assert spans(frame, f"user=bob pass: {key * 100}") == "weak_id:0:8,weak_secret:9:80015"
 
 
+def test_counterparts_of_identifiers_and_schemes(frame):
+    for name in ("aws_secret_access_key", "secret_access_key", "SecretAccessKey", "access_key", "secret_key", "passphrase"):
+        found = spans(frame, f"aws_access_key_id = AKIAABCDEFGH1234\n{name} = wJalrXUtnFEMI/K7MDENG").split(",")
+        assert found[0] == "weak_id:4:36" and found[1] == "access:20:36" and found[2].startswith("weak_secret:"), name
+    assert spans(frame, "AccountName=store;AccountKey=Zm9vYmFy/w==") == "weak_id:0:17,weak_secret:18:41"
+    assert spans(frame, "access_key = AKIAABCDEFGH1234") == "access:13:29", "an identifier does not complete itself"
+    for scheme in ("postgresql", "postgres", "mongodb+srv", "rediss", "amqps"):
+        n = len(scheme) + 7
+        assert spans(frame, f"{scheme}://h.io user=bob pass: hunter2!x") == f"endpoint:0:{n},weak_id:{n + 1}:{n + 9},weak_secret:{n + 10}:{n + 25}"
+
+
 def test_scores(frame):
     def got(text):
         r = pii.report(pii.find_pii(frame([(1, text)]))).first()
