@@ -97,6 +97,16 @@ def test_scores(frame):
     assert got("host 1.2.3.4")[1] == "0.8" and got("1.2.3.4.5")[0] == "ip:0:7"
 
 
+def test_ibans_beside_capitals_and_numbers(frame):
+    texts = ["DE89370400440532013000 BIC COBADEFF", "DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "DE89370400440532013000 EUR 500", "GB82 WEST 1234 5698 7654 32 2024 paid", "DE89370400440532013000, x", "AB12 X GB82 WEST 1234 5698 7654 32 DE89 3704 0044 0532 0130 00 Z", "DE88370400440532013000 BIC COBADEFF", "GB82 WEST 1234 5698 7654 321", "GB82 WEST 1234 5698 7654 32a"]
+    want = ["0:22", "0:27", "0:22", "0:27", "0:22", "7:34,iban:35:62", "", "", ""]
+    got = {r.doc_id: r.spans for r in pii.report(pii.find_pii(frame([*enumerate(texts), (99, "AB12 " * 8000)]))).collect()}
+    mine = lambda k: [x for x in got[k].split(",") if x.startswith("iban")]
+    assert [mine(k) for k in range(len(texts))] == [[f"iban:{x}" for x in w.replace("iban:", "").split(",") if x] for w in want]
+    near = pii.report(pii.find_pii(frame([(1, "DE89370400440532013000 KONTO")]))).first()
+    assert (near.spans, near.scores) == ("iban:0:22", "1.0"), "words of the same run count"
+
+
 def test_edge_rows(frame, oddities):
     for op, rep in ((secret_scan.scan_secrets, secret_scan.report), (pii.find_pii, pii.report)):
         assert sorted(str(r.doc_id) for r in rep(op(frame(oddities))).collect()) == sorted(str(i) for i, _ in oddities)
