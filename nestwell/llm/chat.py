@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nestwell.llm._common import Workspace
@@ -69,7 +69,33 @@ def _levels(ws: Workspace, calls: DataFrame) -> DataFrame:
     return nodes.join(reduce(DataFrame.union, rounds), ["conv_id", "id"], "left")
 
 
-def format_chat(turns: DataFrame, tools: dict[str, dict] | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+#: A running value passes along blocks of 2**TURN_BITS turns, so no task holds a whole conversation.
+TURN_BITS = 10
+_FIRST, _LAST = -(1 << 63), (1 << 63) - 1
+
+
+def _answers(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """conv_id, id, at, owner (at and part of the latest call up to ``at``) and r (turn and content of that
+    call's earliest result); one row for each identifier and turn with calls or results.
+
+    ``at`` is the turn; calls without one come first, results without one last.  Only one row for each turn
+    is ordered: its last call and its least result.  The latest call runs through a block of turns, and
+    one row a block carries it on.
+    """
+    of_turn = lambda df, at, *agg: df.filter("id is not null and conv_id is not null").groupBy("conv_id", "id", at.alias("at")).agg(*agg)
+    last = of_turn(calls, F.coalesce("turn", F.lit(_FIRST)), F.max("part").alias("part"))
+    least = of_turn(results, F.coalesce("turn", F.lit(_LAST)), F.min(F.struct("turn", F.to_json("content").alias("content"))).alias("r"))
+    each = last.join(least, ["conv_id", "id", "at"], "full").withColumn("block", F.shiftright("at", TURN_BITS))
+    call = F.when(F.col("part").isNotNull(), F.struct("at", "part"))
+    before = Window.partitionBy("conv_id", "id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = each.groupBy("conv_id", "id", "block").agg(F.max(call).alias("c")).select("conv_id", "id", "block", F.max("c").over(before).alias("carried"))
+    so_far = Window.partitionBy("conv_id", "id", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    owned = each.withColumn("c", F.max(call).over(so_far)).join(carried, ["conv_id", "id", "block"]).select("conv_id", "id", "at", F.coalesce("c", "carried").alias("owner"), "r")
+    first = owned.filter("r is not null and owner is not null").groupBy("conv_id", "id", "owner").agg(F.min(F.struct("at", "r")).getField("r").alias("r"))
+    return owned.drop("r").join(first, ["conv_id", "id", "owner"], "left")
+
+
+def format_chat(turns: DataFrame, tools: dict[str, dict] | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", per_call: bool = False) -> DataFrame:
     """One row per message, tool call and tool result, to be read in the order conv_id, turn, level, part.
 
     * A text that is a JSON object with ``tool_calls`` (id, name or function.name, arguments as object or
@@ -80,6 +106,10 @@ def format_chat(turns: DataFrame, tools: dict[str, dict] | None = None, conv_col
       conversation that holds a third of all rows is never gathered: ``status`` is ``linked``,
       ``no_result``, ``repeated`` (another call had the identifier before), ``no_id``; for results
       ``linked``, ``no_call``, ``early`` (before its call), ``repeated``.
+    * With ``per_call``, nothing is reduced to the earliest: each result goes to the latest call of its
+      identifier before it (or in its turn), so an identifier may be used again and a stray result hides no
+      later one.  A call is ``linked`` to its own earliest result, ``repeated`` without one if another call
+      had the identifier before; a result is ``early`` before all calls, ``repeated`` after its call's first.
     * ``level`` orders the calls of a turn topologically; calls in a cycle have none.
     * ``errors`` lists what the call's arguments lack against the tool's schema (see ``schema_errors``).
     * ``json`` is canonical: keys sorted, no blanks, absent values left out; a linked call carries its result.
@@ -110,15 +140,25 @@ def format_chat(turns: DataFrame, tools: dict[str, dict] | None = None, conv_col
     levels = _levels(ws, calls.filter("id is not null and conv_id is not null").select("conv_id", "id", "after"))
     heads = first_call.join(first_result, ["conv_id", "id"], "left").join(levels, ["conv_id", "id"], "left")
 
-    linked = calls.join(heads, ["conv_id", "id"], "left")
-    mine = F.col("first") == F.struct("turn", "part")
-    good = mine & F.col("r").isNotNull() & (F.coalesce(F.col("r.turn") >= F.col("turn"), F.lit(True)))
-    status = F.when(F.col("id").isNull() | F.col("conv_id").isNull(), "no_id").when(~mine, "repeated").when(good, "linked").otherwise("no_result")
+    mine = F.col("first").eqNullSafe(F.struct("turn", "part")) if per_call else F.col("first") == F.struct("turn", "part")
+    if per_call:
+        answers = ws.stage(_answers(calls, results), "answers")
+        own = answers.select("conv_id", "id", F.col("owner.at").alias("at"), F.col("owner.part").alias("part"), "r").filter("r is not null").distinct()
+        linked = calls.withColumn("at", F.coalesce("turn", F.lit(_FIRST))).join(heads.drop("r"), ["conv_id", "id"], "left").join(own, ["conv_id", "id", "at", "part"], "left")
+        status = F.when(F.col("id").isNull() | F.col("conv_id").isNull(), "no_id").when(F.col("r").isNotNull(), "linked").when(~mine, "repeated").otherwise("no_result")
+    else:
+        linked = calls.join(heads, ["conv_id", "id"], "left")
+        good = mine & F.col("r").isNotNull() & (F.coalesce(F.col("r.turn") >= F.col("turn"), F.lit(True)))
+        status = F.when(F.col("id").isNull() | F.col("conv_id").isNull(), "no_id").when(~mine, "repeated").when(good, "linked").otherwise("no_result")
     body = F.struct(F.col("arguments"), F.col("id"), F.col("name"), F.when(status == "linked", F.try_parse_json(F.col("r.content"))).alias("result"))
     call_rows = linked.select("conv_id", "turn", "part", F.lit("call").alias("kind"), F.col("id").alias("call_id"), "name", "level", status.alias("status"), F.array_join(schema_errors(F.col("name"), F.col("arguments"), tools), ",").alias("errors"), F.to_json(body).alias("json"))
 
-    answered = results.join(heads.select("conv_id", "id", "first", F.col("r.turn").alias("_first_turn")), ["conv_id", "id"], "left")
-    state = F.when(F.col("first").isNull(), "no_call").when(F.col("turn") < F.col("first.turn"), "early").when(F.col("turn") > F.col("_first_turn"), "repeated").otherwise("linked")
+    if per_call:
+        answered = results.withColumn("at", F.coalesce("turn", F.lit(_LAST))).join(heads.select("conv_id", "id", "first"), ["conv_id", "id"], "left").join(answers, ["conv_id", "id", "at"], "left")
+        state = F.when(F.col("first").isNull(), "no_call").when(F.col("owner").isNull(), "early").when(F.col("r").eqNullSafe(F.struct("turn", F.to_json("content").alias("content"))), "linked").otherwise("repeated")
+    else:
+        answered = results.join(heads.select("conv_id", "id", "first", F.col("r.turn").alias("_first_turn")), ["conv_id", "id"], "left")
+        state = F.when(F.col("first").isNull(), "no_call").when(F.col("turn") < F.col("first.turn"), "early").when(F.col("turn") > F.col("_first_turn"), "repeated").otherwise("linked")
     result_rows = answered.select("conv_id", "turn", F.lit(0).alias("part"), F.lit("result").alias("kind"), F.col("id").alias("call_id"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("level"), state.alias("status"), F.lit("").alias("errors"), F.to_json(F.struct("content", F.col("id").alias("tool_call_id"))).alias("json"))
 
     is_result = (F.col("role") == "tool") & _at(F.col("v"), "$.tool_call_id", "string").isNotNull()

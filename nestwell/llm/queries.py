@@ -74,7 +74,7 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nestwell.llm.chat import format_chat
 
-    return format_chat(_table(spark, sf_dir, "conversations"))
+    return format_chat(_table(spark, sf_dir, "conversations"), per_call=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

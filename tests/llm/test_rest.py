@@ -181,3 +181,38 @@ def test_calls_equal_brute_force(spark):
                 v[1] = level.get(v[0])
     got = {(r.conv_id, r.turn, r.part): [r.call_id, r.level, r.status] for r in chat.format_chat(turns(spark, rows)).collect() if r.kind == "call"}
     assert got == want
+
+
+def test_each_call_gets_its_own_result(spark, monkeypatch):
+    """Random conversations whose identifiers are used again: each result belongs to the latest call before it."""
+    monkeypatch.setattr(chat, "TURN_BITS", 1)
+    rnd = random.Random(9)
+    call = lambda *ids: ("assistant", J({"tool_calls": [{"id": i, "name": "search", "arguments": {"query": "q"}} for i in ids]}))
+    answer = lambda i, c: ("tool", J({"tool_call_id": i, "content": c}))
+    rows = [(-1, 3, *answer("a", "stray")), (-1, 5, *call("a")), (-1, 6, *answer("a", "real")), (-1, 7, *call("a")), (-1, 8, *answer("a", "second")), (-1, 9, *answer("a", "late"))]
+    for conv in range(25):
+        for turn in range(rnd.randint(2, 14)):
+            rows.append((conv, turn, *(call(*[rnd.choice("abc") for _ in range(rnd.randint(1, 2))]) if rnd.random() < 0.5 else answer(rnd.choice("abcd"), f"r{turn}"))))
+    want, latest, seen = {}, {}, set()
+    for conv, turn, role, text in rows:
+        if role == "assistant":
+            for k, c in enumerate(json.loads(text)["tool_calls"]):
+                want[conv, turn, k, "call"] = ["repeated" if (conv, c["id"]) in seen else "no_result", None]
+                seen.add((conv, c["id"]))
+                latest[conv, c["id"]] = (conv, turn, k, "call")
+            continue
+        i, mine = json.loads(text)["tool_call_id"], latest.get((conv, json.loads(text)["tool_call_id"]))
+        known = any((c, i) == (conv, x["id"]) for c, _, r, t in rows if r == "assistant" for x in json.loads(t)["tool_calls"])
+        state = "no_call" if not known else "early" if mine is None else "repeated" if want[mine][0] == "linked" else "linked"
+        if state == "linked":
+            want[mine] = ["linked", json.loads(text)["content"]]
+        want[conv, turn, 0, "result"] = [state, None]
+    found = chat.format_chat(turns(spark, rows), per_call=True).filter("kind <> 'message'").collect()
+    got = {(r.conv_id, r.turn, r.part, r.kind): [r.status, json.loads(r.json).get("result")] for r in found}
+    assert len(found) == len(want) and got == want
+    assert got[-1, 5, 0, "call"] == ["linked", "real"] and got[-1, 7, 0, "call"] == ["linked", "second"] and got[-1, 3, 0, "result"] == ["early", None]
+    assert chat.format_chat(turns(spark, []), per_call=True).count() == 0
+    # no turn, no conversation and equal rows
+    odd = [(1, None, *call("a")), (1, None, *answer("a", "x")), (None, 1, *call("a")), (2, 1, *call("b")), (2, 1, *call("b")), (2, 2, *answer("b", "y")), (2, 2, *answer("b", "y"))]
+    states = sorted((str(r.conv_id), r.kind, r.status) for r in chat.format_chat(turns(spark, odd), per_call=True).filter("kind <> 'message'").collect())
+    assert states == [("1", "call", "linked"), ("1", "result", "linked"), *[("2", "call", "linked")] * 2, *[("2", "result", "linked")] * 2, ("None", "call", "no_id")]
