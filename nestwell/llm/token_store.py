@@ -141,15 +141,25 @@ def _manifest(ws: Workspace, recipes: DataFrame) -> DataFrame:
     for k in range(6):
         level = level.groupBy("node").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("below", "root"))).alias("nodes"))
         level = level.select("node", "n_docs", "n_tokens", root("nodes").alias("root"))
-        if k == 0:
-            level = ws.stage(level, "documents")
+        level = ws.stage(level, f"level{k}")
         levels.append(level.select(F.lit(k).alias("level"), "*"))
         level = level.select(F.shiftright("node", 10).alias("node"), F.col("node").alias("below"), "n_docs", "n_tokens", "root")
     return reduce(DataFrame.union, levels)
 
 
+def _agree(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two manifests have the same nodes; one number reaches the driver."""
+    both = a.select("*", F.lit(1).alias("_side")).union(b.select("*", F.lit(-1).alias("_side")))
+    return both.groupBy("level", "node", "n_docs", "n_tokens", "root").agg(F.sum("_side").alias("n")).filter("n <> 0").isEmpty()
+
+
 def verify_store(store: dict) -> DataFrame:
-    """Reads the files back: doc_id, start, n_tokens, ids_crc32 and whether every chunk has its address.
+    """Reads the files back: doc_id, start, n_tokens, ids_crc32 and ``sound``.
+
+    A document is sound if every chunk of it has its address and size, its recipe's digests give the recipe's
+    root, and its sizes its number of tokens.  The whole tree is rebuilt from the recipes' roots, too: where
+    it differs from the manifest in any node, its counts or its root (a recipe was exchanged, added or lost),
+    no document is sound.  If no recipe is left, there is no row to say so.
 
     Each distinct chunk is read once; its bytes are hashed and compared with the address.  A document's
     CRC-32 is the XOR of its chunks' shifted CRCs, so no document is gathered in one place.
@@ -165,22 +175,28 @@ def verify_store(store: dict) -> DataFrame:
 
     def uses(batches):
         for batch in batches:
-            docs, starts, digests, tails = [], [], [], []
-            for doc, start, found, sizes in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "start", "digests", "sizes")], strict=True):
+            docs, starts, digests, tails, wants, wholes = [], [], [], [], [], []
+            for doc, start, n_tokens, found, sizes, root in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "start", "n_tokens", "digests", "sizes", "root")], strict=True):
                 docs += [doc] * max(1, len(found))
                 starts += [start] * max(1, len(found))
                 digests += found or [None]
-                tails += (4 * (sum(sizes) - np.cumsum(sizes, dtype=np.int64))).tolist() or [0]
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(digests, pa.binary()), pa.array(tails, pa.int64())], ["doc_id", "start", "digest", "tail"])
+                fit = (sizes + [0] * len(found))[: len(found)]
+                tails += (4 * (sum(fit) - np.cumsum(fit, dtype=np.int64))).tolist() or [0]
+                wants += fit or [0]
+                wholes += [len(sizes) == len(found) and sum(sizes) == n_tokens and merkle(found) == root] * max(1, len(found))
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(digests, pa.binary()), pa.array(tails, pa.int64()), pa.array(wants, pa.int64()), pa.array(wholes, pa.bool_())], ["doc_id", "start", "digest", "tail", "want", "whole"])
 
     def shifted(batches):
         for batch in batches:
             crc, tail = batch.column("crc").to_numpy(), batch.column("tail").to_numpy()
             yield batch.set_column(batch.schema.get_field_index("crc"), "crc", pa.array(shift_crc(crc, tail).astype(np.int64), pa.int64()))
 
+    ws = Workspace(store["recipes"].sparkSession, "verify_store")
+    agrees = _agree(_manifest(ws, store["recipes"]), store["manifest"])
+    ws.close()
     found = store["chunks"].mapInArrow(frugal(read), "digest binary, n long, crc long, sound boolean")
-    wanted = store["recipes"].select("doc_id", "start", "digests", "sizes").mapInArrow(frugal(uses), "doc_id long, start long, digest binary, tail long")
-    each = wanted.join(found, "digest", "left").select("doc_id", "start", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("crc", F.lit(0)).cast("long").alias("crc"), "tail", F.coalesce("sound", F.col("digest").isNull()).alias("sound"))
+    wanted = store["recipes"].select("doc_id", "start", "n_tokens", "digests", "sizes", "root").mapInArrow(frugal(uses), "doc_id long, start long, digest binary, tail long, want long, whole boolean")
+    each = wanted.join(found, "digest", "left").select("doc_id", "start", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("crc", F.lit(0)).cast("long").alias("crc"), "tail", (F.coalesce("sound", F.col("digest").isNull()) & F.col("whole") & (F.coalesce("n", F.lit(0)) == F.col("want")) & F.lit(agrees)).alias("sound"))
     each = each.mapInArrow(frugal(shifted), "doc_id long, start long, n long, crc long, tail long, sound boolean")
     return each.groupBy("doc_id", "start").agg(F.sum("n").alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32"), F.bool_and("sound").alias("sound"))
 

@@ -104,6 +104,28 @@ def test_a_damaged_or_missing_chunk_is_noticed(spark, frame, prose):
     assert sum(not r.sound for r in token_store.verify_store(gone).collect()) == 1
 
 
+def test_a_damaged_or_missing_recipe_is_noticed(spark, frame, prose):
+    from pyspark.sql import functions as F
+
+    store = token_store.open_store(spark, frame([(1, prose(6000, 5)), (2, prose(6000, 6)), (3, prose(60, 7))]), WORDS)
+    assert sorted(r.level for r in store["manifest"].collect()) == [0, 1, 2, 3, 4, 5]
+    sound = lambda recipes: {r.doc_id: r.sound for r in token_store.verify_store(store | {"recipes": recipes}).collect()}
+    r = store["recipes"]
+    assert min(x.n for x in r.select(F.size("digests").alias("n")).where("doc_id < 3").collect()) > 1
+    assert sound(r) == {1: True, 2: True, 3: True}
+    first = lambda c, v: r.withColumn(c, F.when(F.col("doc_id") == 1, v).otherwise(F.col(c)))
+    swapped = first("digests", F.reverse("digests")).withColumn("sizes", F.when(F.col("doc_id") == 1, F.reverse("sizes")).otherwise(F.col("sizes")))
+    assert sound(swapped) == {1: False, 2: True, 3: True}
+    short = first("digests", F.slice("digests", 1, F.size("digests") - 1))
+    assert not sound(short)[1] and not sound(short.withColumn("sizes", F.slice("sizes", 1, F.size("digests"))))[1]
+    assert not sound(first("sizes", F.reverse("sizes")))[1] and not sound(first("sizes", F.slice("sizes", 1, 1)))[1]
+    # recipes that are sound in themselves: one lost, one in another's place
+    assert not any(sound(r.where("doc_id <> 3")).values())
+    other = r.where("doc_id = 2").select("digests", "sizes", "root", "n_tokens").first()
+    lit = lambda x: F.array(*map(F.lit, map(bytes, x)))
+    assert not any(sound(first("digests", lit(other.digests)).withColumn("sizes", F.when(F.col("doc_id") == 1, F.array(*map(F.lit, other.sizes))).otherwise(F.col("sizes"))).withColumn("root", F.when(F.col("doc_id") == 1, F.lit(bytes(other.root))).otherwise(F.col("root"))).withColumn("n_tokens", F.when(F.col("doc_id") == 1, F.lit(other.n_tokens)).otherwise(F.col("n_tokens")))).values())
+
+
 def test_crc_of_blocks_and_cut_points():
     rnd = np.random.default_rng(1)
     ids = rnd.integers(0, 49_000, 60_000).astype("<u4")
