@@ -19,8 +19,23 @@ from nestwell.llm._common import frugal, id_and_text
 TRAIN_ROWS, DIMS = 8_192, 1 << 12
 _ODD = frozenset("#$%&*@^~<>{}|\\=!")
 _RUN = re.compile(r"(.)\1+")
-#: Letters of ASCII and Latin-1 by case, and digits; others stand for themselves in a shape.
-_FOLD = {c: "A" if chr(c).isupper() else "a" if chr(c).isalpha() else "0" for c in range(256) if chr(c).isalnum()}
+
+
+class _Fold(dict):
+    """Letters by case, digits as 0 and other characters as they are; those beyond Latin-1 are found when first met."""
+
+    def __missing__(self, c: int) -> str:
+        x = chr(c)
+        found = "A" if x.isupper() else "a" if x.isalpha() else "0" if x.isalnum() else x
+        if len(self) < 1 << 16:
+            self[c] = found
+        return found
+
+
+#: Known for Latin-1 from the start.
+_FOLD = _Fold()
+for _c in range(256):
+    _FOLD[_c]
 #: Labellers: each calls a text bad from its first bound on and good below its second, and abstains between.
 LABELLERS = {
     "odd_marks": (0.3, 0.05),
@@ -45,14 +60,13 @@ _LOWER, _TITLE = _feature("a"), _feature("Aa")
 
 
 def _word(w: str) -> tuple:
-    """(feature, flags or None) of a word, kept up to a bounded number; flags are odd marks, ends oddly, all
+    """(feature, flags or None) of a whole word, kept up to a bounded number if short; flags are odd marks, ends oddly, all
     capitals, shouts, bare, ends a sentence."""
     found = _words.get(w)
     if found is None:
-        head = w[:64]
         odd = sum(c in _ODD for c in w)
-        flags = (odd, w[-1] in _ODD, w.isupper() and len(w) > 1, w[-1] == "!", not any(map(str.isalnum, head)), w[-1] in ".?")
-        found = (_feature(_RUN.sub(r"\1", head.translate(_FOLD))), flags if any(flags) else None)
+        flags = (odd, w[-1] in _ODD, w.isupper() and len(w) > 1, w[-1] == "!", not any(map(str.isalnum, w)), w[-1] in ".?")
+        found = (_feature(_RUN.sub(r"\1", w.translate(_FOLD))), flags if any(flags) else None)
         if len(_words) >= 50_000:
             _words.clear()
         if len(w) <= 64:

@@ -110,6 +110,19 @@ def test_classifier_edges(frame, oddities):
     assert quality.drop_rejected(frame([])).count() == 0
 
 
+def test_shapes_hold_whole_words_of_all_scripts():
+    shape = lambda w: quality._word(w)[0]
+    assert shape("a1" * 32 + "-X") != shape("a1" * 32 + "+x") and shape("日本語" * 40 + "。") == shape("中" * 500 + "。") != shape("中" * 500)
+    assert shape("слово,") == shape("другое,") == shape("word,") and shape("СловоДва") == shape("WordTwo") and shape("λόγος;") == shape("ab;") and shape("٣٤x") == shape("34x")
+    bare = list(quality.LABELLERS).index("bare_marks")
+    assert quality.measure("-" * 64 + "word " + "ok")[1][bare] == 0 and quality.measure("-" * 64 + " ok")[1][bare] == 0.5
+    rnd = random.Random(3)
+    for _ in range(300):
+        w = "".join(rnd.choice("aZé9-.ЖжΣσ٣中ǅ😀") for _ in range(rnd.randint(1, 150)))
+        fold = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isalnum() else c for c in w)
+        assert shape(w) == quality._feature(re.sub(r"(.)\1+", r"\1", fold))
+
+
 J = json.dumps
 TURNS = [
     (1, 0, "user", 'hi é "q"'),
