@@ -61,13 +61,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
     passage that a third of all documents share only makes one row per occurrence.  Hits of a document
     meet again in one row; no other gathering takes place.
 
-    Null or wordless texts have no words and no hits; wordless items have no window; null ids stay null;
+    Null or wordless texts have no words and no hits; wordless items have no window; null document ids
+    stay null; items without an id count in ``n_hit`` and ``contaminated``, not in ``items`` and ``n_items``;
     repeated documents give repeated rows, repeated items count once; empty tables give no hits or no
     rows; other columns are ignored.
     """
     ws = Workspace(docs.sparkSession, "decontaminate")
     plain = id_and_text(docs, id_col, text_col)
-    named = items.select(F.col(f"`{item_col}`").cast("string").alias("item_id"), F.coalesce(F.col(f"`{item_text_col}`").cast("string"), F.lit("")).alias("text")).filter("item_id is not null")
+    named = items.select(F.col(f"`{item_col}`").cast("string").alias("item_id"), F.coalesce(F.col(f"`{item_text_col}`").cast("string"), F.lit("")).alias("text"))
     wins = ws.stage(windows(named, window), "windows")
     # empty strings stand at either end only and belong to no window: they stay, and aren't counted
     whole = plain.select("doc_id", F.xxhash64("text").alias("_key"), _split(F.col("text")).alias("w"))

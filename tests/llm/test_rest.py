@@ -60,6 +60,14 @@ def test_decontamination_edges(spark, frame):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_items_without_an_id_contaminate(spark, frame):
+    items = spark.createDataFrame([(None, "a b c"), (None, "solo"), (7, "b c d")], "item_id int, text string")
+    docs = frame([(1, "x a b c y"), (2, "a b c d"), (3, "solo"), (4, "x y")])
+    got = {r.doc_id: (r.n_hit, r.n_items, list(r["items"]), r.contaminated) for r in decontaminate.decontaminate(docs, items).collect()}
+    assert got == {1: (3, 0, [], True), 2: (4, 1, ["7"], True), 3: (1, 0, [], True), 4: (0, 0, [], False)}
+    assert [r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()] == [4]
+
+
 def test_label_model_finds_accuracies():
     rnd = np.random.default_rng(5)
     truth = rnd.random(20_000) < 0.85
