@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,7 @@ class Workspace:
         self.spark, self.root = spark, f"{shared_dir(spark)}/nestwell/{name}-{uuid.uuid4().hex}"
         self._count = 0
         atexit.register(self.close)
+        _opened.append(self)
 
     def path(self, name: str) -> str:
         self._count += 1
@@ -65,6 +67,25 @@ class Workspace:
             self._delete(self.root)
         except Exception:  # the session has ended: nothing can be removed through it
             return
+        finally:
+            atexit.unregister(self.close)
+            if self in _opened:
+                _opened.remove(self)
+
+
+#: Workspaces not yet closed, in the order of their making.
+_opened: list[Workspace] = []
+
+
+@contextmanager
+def scratch():
+    """Closes the workspaces made within: for a result that is written before the end."""
+    before = len(_opened)
+    try:
+        yield
+    finally:
+        for ws in _opened[before:]:
+            ws.close()
 
 
 def frugal(run: Callable[[Iterator], Iterator], *forget: Callable[[], None]) -> Callable[[Iterator], Iterator]:
@@ -97,35 +118,66 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> D
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), *more)
 
 
-def prefix_sums(ws: Workspace, df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
-    """Adds ``out``: the sum of ``value`` over all rows before, in the total order ``order``.
+def text_key(text: Column) -> list[Column]:
+    """128 bits that tell texts apart: two 64-bit hashes of the text, null counting as empty."""
+    t = F.coalesce(text.cast("string"), F.lit(""))
+    return [F.xxhash64(t), F.xxhash64(F.lit(1), t)]
+
+
+def unused(taken: list[str], *names: str) -> list[str]:
+    """``names`` with as many underscores before them as it takes to clash with no column; case doesn't tell columns apart."""
+    low, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in low:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str, kind: str = "left_anti") -> DataFrame:
+    """The rows of ``docs`` that are not (or, by ``left_semi``, are) in ``gone``: doc_id and the two columns ``k1`` and ``k2`` of ``text_key``.
+
+    A row is known by its id and its text, so what becomes of one row says nothing of another with the same or no id.
+    """
+    i, a, b = unused(docs.columns, "_id", "_k1", "_k2")
+    keys = gone.select(F.col("doc_id").alias(i), F.col("k1").alias(a), F.col("k2").alias(b))
+    mine = text_key(F.col(f"`{text_col}`"))
+    return docs.join(keys, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(i)) & (mine[0] == F.col(a)) & (mine[1] == F.col(b)), kind)
+
+
+def prefix_sums(ws: Workspace, df: DataFrame, order: list[str], value: str, out: str, place: str | None = None) -> DataFrame:
+    """Adds ``out``: the sum of ``value`` over all rows before, in the total order ``order``; and ``place``, how many rows are before.
 
-    Rows are range-partitioned; each task sums its own rows as they stream past, and only one total per
-    partition reaches the driver.  Rows tied on ``order`` are spread by it alone, so end it with unique columns.
+    Rows are range-partitioned; each task sums its own rows as they stream past, and only two totals per
+    partition reach the driver.  Rows tied on ``order`` are spread by it alone, so end it with unique columns.
     """
     import pyarrow as pa
     import pyarrow.compute as pc
     from pyspark import TaskContext
 
-    schema = T.StructType([*df.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_local", T.LongType())])
+    schema = T.StructType([*df.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_local", T.LongType()), T.StructField("_row", T.LongType())])
 
     def local(batches):
-        part, total = TaskContext.get().partitionId(), 0
+        part, total, rows = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             ends = pc.add(pc.cumulative_sum(batch.column(value)), total)
             starts = pc.subtract(ends, batch.column(value))
             total = ends[-1].as_py()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * batch.num_rows, pa.int32()), starts], [*batch.schema.names, "_part", "_local"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * batch.num_rows, pa.int32()), starts, pa.array(range(rows, rows + batch.num_rows), pa.int64())], [*batch.schema.names, "_part", "_local", "_row"])
+            rows += batch.num_rows
 
     placed = ws.stage(df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).mapInArrow(local, schema), "ordered")
-    totals = sorted(placed.groupBy("_part").agg(F.sum(value).alias("n")).collect())
-    offsets, at = [], 0
-    for part, n in totals:
-        offsets.append((part, at))
-        at += n
-    base = ws.spark.createDataFrame(offsets, "_part int, _base long")
-    done = placed.join(F.broadcast(base), "_part").withColumn(out, F.col("_base") + F.col("_local")).drop("_base", "_local", "_part")
+    totals = sorted(placed.groupBy("_part").agg(F.sum(value).alias("n"), F.count("*").alias("rows")).collect())
+    offsets, at, rows = [], 0, 0
+    for part, n, k in totals:
+        offsets.append((part, at, rows))
+        at, rows = at + n, rows + k
+    base = ws.spark.createDataFrame(offsets, "_part int, _base long, _rows long")
+    done = placed.join(F.broadcast(base), "_part").withColumn(out, F.col("_base") + F.col("_local"))
+    if place:
+        done = done.withColumn(place, F.col("_rows") + F.col("_row"))
+    done = done.drop("_base", "_local", "_part", "_rows", "_row")
     done._staged_at = placed._staged_at
     return done
