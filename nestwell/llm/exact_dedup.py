@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nestwell.llm._common import Workspace, id_and_text
+from nestwell.llm._common import Workspace, id_and_text, unused
 
 #: Mean digests in a bucket of the hash, and in a group that shares one displacement.
 BUCKET, GROUP = 2048, 4
@@ -86,7 +86,7 @@ def build_index(ws: Workspace, known: DataFrame) -> tuple[DataFrame, int]:
 
 
 def look_up(rows: DataFrame, index: DataFrame, buckets: int) -> DataFrame:
-    """``rows`` (with digest) beside what the hash holds for them: winner, copies, historical; nulls for nonmembers.
+    """``rows`` (with digest) beside what the hash holds for them: place (bucket and slot), winner, copies, historical; nulls for nonmembers.
 
     Two joins, on the bucket and on the slot.  A digest that is not in the hash lands on some slot as well:
     only equality of the full digests makes it a member.  Both are plain equi-joins whose left side Spark
@@ -98,58 +98,68 @@ def look_up(rows: DataFrame, index: DataFrame, buckets: int) -> DataFrame:
     at = rows.withColumn("_b", _bucket(d, buckets)).join(heads, "_b", "left").withColumn("_d", shift)
     at = at.withColumn("_slot", place(_word(d, 0), _word(d, 1), _word(d, 2), F.col("_d"), F.col("_n"))).drop("_n", "_shifts", "_d")
     slots = index.select(F.col("bucket").alias("_b"), F.col("slot").cast("long").alias("_slot"), "known", "winner", "copies", "historical")
-    return _same_digest(at.join(slots, ["_b", "_slot"], "left")).drop("_b", "_slot", "known")
-
-
-def _same_digest(df: DataFrame) -> DataFrame:
-    same = F.col("known") == F.col("digest")
-    return df.withColumns({c: F.when(same, F.col(c)) for c in ("winner", "copies", "historical")})
+    found, same = at.join(slots, ["_b", "_slot"], "left"), F.col("known") == d
+    here = {c: F.when(same, F.col(c)) for c in ("winner", "copies", "historical")} | {"place": F.when(same, F.struct("_b", "_slot"))}
+    return found.withColumns(here).drop("_b", "_slot", "known")
 
 
 def exact_groups(docs: DataFrame, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, in_history.
 
-    Texts are equal when identical; null counts as empty.  Historical digests are those of ``history``
-    (digest binary, doc_id) and those that occur at least twice in ``docs``: all whose members may be
-    repeats.  They go into a minimal perfect hash; every document looks itself up and the full digests are
-    compared.  Members take the slot's winner: a historical document if there is one, else the largest
-    doc_id of the group.  Nonmembers are grouped separately: each is its own group and stays.
+    Texts are equal when identical; null counts as empty.  A minimal perfect hash is built over the distinct
+    digests of what was there before: ``history`` (digest binary, doc_id), or without it the earlier part of
+    ``docs`` itself, up to the median doc_id.  Its slots hold the full digest and the winner so far.  Every
+    document looks itself up, and the full digests are compared byte by byte.  Members meet at their slot,
+    which tells the group's size and last winner; nonmembers are grouped by digest, among themselves alone.
+    The winner is the historical document if ``history`` has one, else the largest doc_id of the group.
 
     Equal rows with equal ids are ties: all of them are marked kept (``drop_repeats`` keeps one).  A null id
-    loses to any other; a group of null ids only has no winner to name, and its rows stay.  Repeated rows
-    count in group_size.  An empty table gives an empty one; other columns are ignored.
+    loses to any other and belongs to the later part; a group of null ids only has no winner to name, and
+    its rows stay.  Repeated rows count in group_size.  An empty table gives an empty one; other columns
+    are ignored.
     """
     ws = Workspace(docs.sparkSession, "exact_dedup")
     plain = id_and_text(docs, id_col, text_col)
     rows = ws.stage(plain.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest")), "digests")
-    found = rows.groupBy("digest").agg(F.max("doc_id").alias("winner"), F.count("*").alias("copies")).withColumn("historical", F.lit(False))
     if history is None:
-        known = found.filter("copies > 1")
+        middle = rows.agg(F.percentile_approx("doc_id", 0.5)).first()[0]
+        past, outside = rows.filter(F.col("doc_id") <= F.lit(middle).cast("long")), False
     else:
-        before = history.groupBy("digest").agg(F.max("doc_id").alias("_w"))
-        both = found.join(before, "digest", "left")
-        known = both.filter("copies > 1 or _w is not null").select("digest", F.coalesce("_w", "winner").alias("winner"), "copies", F.col("_w").isNotNull().alias("historical"))
+        past, outside = history, True
+    known = past.groupBy("digest").agg(F.max("doc_id").cast("long").alias("winner"), F.count("*").alias("copies")).withColumn("historical", F.lit(outside))
     index, buckets = build_index(ws, ws.stage(known, "known"))
-    out = look_up(rows, index, buckets)
-    member, past = F.col("copies").isNotNull(), F.coalesce("historical", F.lit(False))
-    keep = F.when(member, F.col("winner")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("group_size"), (~past & keep.eqNullSafe(F.col("doc_id"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), past.alias("in_history"))
+    asked = ws.stage(look_up(rows, index, buckets), "asked")
+    most = (F.max("doc_id").alias("last"), F.count("*").alias("group_size"))
+    members, others = asked.filter("place is not null"), asked.filter("place is null")
+    members = members.join(members.groupBy("place").agg(*most), "place")
+    others = others.join(others.groupBy("digest").agg(*most), "digest")
+    columns = ("doc_id", "digest", "winner", "historical", "last", "group_size")
+    out, gone = members.select(*columns).union(others.select(*columns)), F.coalesce("historical", F.lit(False))
+    # the place of a slot says who won before; a later document of the table itself may have come since
+    keep = F.when(gone, F.col("winner")).otherwise(F.greatest("winner", "last"))
+    return out.select("doc_id", keep.alias("keep_id"), F.col("group_size").cast("long").alias("group_size"), (~gone & keep.eqNullSafe(F.col("doc_id"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), gone.alias("in_history"))
 
 
 def drop_repeats(docs: DataFrame, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with the columns of ``docs``; of rows tied in id and text one stays."""
+    """The documents that stay, with the columns of ``docs``; of rows tied in id and text one stays.
+
+    Rows are told apart by id and text, so ids that are null or shared by differing texts lose nothing: each
+    text's winner stays, and of a text that has null ids only all rows but ties, that is one.  Nulls count
+    as empty texts; columns may have any names; an empty table gives an empty one.
+    """
     ws = Workspace(docs.sparkSession, "drop_repeats")
     groups = ws.stage(exact_groups(docs, history, id_col, text_col).select("doc_id", "kept", "group_size", "text_sha256"), "groups")
+    i, sha = unused(docs.columns, "_id", "_sha")
     key = [F.col(f"`{id_col}`").cast("long"), F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 256)]
 
     def among(kind: str, keys: DataFrame, rows: DataFrame) -> DataFrame:
-        keys = keys.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-        return rows.join(keys, key[0].eqNullSafe(keys["_id"]) & (key[1] == keys["_sha"]), kind)
+        keys = keys.select(F.col("doc_id").alias(i), F.col("text_sha256").alias(sha))
+        return rows.join(keys, key[0].eqNullSafe(F.col(i)) & (key[1] == F.col(sha)), kind)
 
     stay = among("left_anti", groups.filter("not kept"), docs)
     tied = groups.filter("kept and group_size > 1").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n")).filter("n > 1")
     if tied.isEmpty():
         return stay
     tied = ws.stage(tied, "tied")
-    one = among("left_semi", tied, stay).withColumn("_sha", key[1]).dropDuplicates([id_col, "_sha"]).drop("_sha")
+    one = among("left_semi", tied, stay).withColumns({i: key[0], sha: key[1]}).dropDuplicates([i, sha]).drop(i, sha)
     return among("left_anti", tied, stay).unionByName(one)
