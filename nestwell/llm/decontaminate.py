@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import string
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nestwell.llm._common import Workspace, id_and_text
+from nestwell.llm._common import Workspace, id_and_text, text_key, without
 
 #: Windows joined at once: each has some 200 bytes as a row, so a block's broadcast stays below 64 MB.
 BLOCK_WINDOWS = 250_000
@@ -36,14 +37,23 @@ def _pair(a: Column, b: Column) -> Column:
     return F.xxhash64(a, b)
 
 
-def _occurrences(docs: DataFrame, wanted: DataFrame, pairs: bool) -> DataFrame:
+#: A token of no shingle, behind the last word: it brings one row of every document through the join with windows.
+_END = 0x5EED0FD0C5
+
+
+def _occurrences(docs: DataFrame, wanted: DataFrame, pairs: bool, ends: bool = False) -> DataFrame:
     """Documents' columns, ``at`` (place in ``w`` from 1) and ``wanted``'s, where its ``token`` occurs.
 
     Shingles are hashed within the row and exploded as numbers, which are looked up as they pass: one
-    pipelined pass, nothing is shuffled.
+    pipelined pass, nothing is shuffled.  They are made a step before they are exploded, so that exploding
+    and looking up compile into one loop over a document's row: its words are never copied for each word.
     """
     tokens = F.transform("w", lambda x, k: _pair(x, F.get("w", k + 1)) if pairs else F.xxhash64(x))
-    each = docs.select("*", F.posexplode(tokens).alias("_p", "token"))
+    if ends:
+        tokens = F.concat(tokens, F.array(F.lit(_END).cast("long")))
+    made = docs.select("*", tokens.alias("_tokens"))
+    # the outer form: from the plain one a filter on the tokens' size is inferred, which would make them, and split the text, once more for each word
+    each = made.select(*docs.columns, F.posexplode_outer("_tokens").alias("_p", "token"))
     return each.select(*docs.columns, (F.col("_p") + 1).alias("at"), "token").join(F.broadcast(wanted), "token")
 
 
@@ -66,37 +76,48 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
     repeated documents give repeated rows, repeated items count once; empty tables give no hits or no
     rows; other columns are ignored.
     """
+    return _decontaminated(docs, items, window, id_col, text_col, item_col, item_text_col).drop("k1", "k2")
+
+
+def _decontaminated(docs: DataFrame, items: DataFrame, window: int, id_col: str, text_col: str, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``decontaminate`` with the rows' ``text_key`` as k1 and k2."""
     ws = Workspace(docs.sparkSession, "decontaminate")
     plain = id_and_text(docs, id_col, text_col)
     named = items.select(F.col(f"`{item_col}`").cast("string").alias("item_id"), F.coalesce(F.col(f"`{item_text_col}`").cast("string"), F.lit("")).alias("text"))
     wins = ws.stage(windows(named, window), "windows")
     # empty strings stand at either end only and belong to no window: they stay, and aren't counted
-    whole = plain.select("doc_id", F.xxhash64("text").alias("_key"), _split(F.col("text")).alias("w"))
-    n_words = F.size("w") - (F.get("w", F.lit(0)) == "").cast("int") - ((F.size("w") > 1) & (F.element_at("w", -1) == "")).cast("int")
-    hits = None
+    key = text_key(F.col("text"))
+    whole = plain.select("doc_id", key[0].alias("k1"), key[1].alias("k2"), F.spark_partition_id().alias("part"), _split(F.col("text")).alias("w"))
+    found, counted = [], False
     for pairs in (True, False):
         kind = wins.filter("size > 1" if pairs else "size = 1")
         blocks = -(-kind.count() // BLOCK_WINDOWS)
         for block in range(blocks):
             part = kind.filter(F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)) == block) if blocks > 1 else kind
-            found = _block_hits(ws, whole, part, pairs)
-            hits = found if hits is None else hits.union(found)
-    # one row for each document without a join: the words are counted where they are split
-    counted = whole.select("doc_id", "_key", n_words.alias("n_words"))
-    all_rows = counted.groupBy("doc_id", "_key").agg(F.max("n_words").cast("long").alias("n_words"), F.count("*").cast("int").alias("_rows"))
-    if hits is None:
-        spans = docs.sparkSession.createDataFrame([], "doc_id long, _key long, spans array<struct<start: int, end: int>>, items array<string>")
-    else:
-        spans = ws.stage(hits, "hits").groupBy("doc_id", "_key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"), F.sort_array(F.collect_set("item_id")).alias("items"))
+            found.append(_block_hits(ws, whole, part, pairs, ends=not counted))
+            counted = True
+    if not counted:
+        found = [whole.select("doc_id", "k1", "k2", "part", _n_words().alias("n_words"), F.lit(None).cast("string").alias("item_id"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"))]
+    hits = ws.stage(reduce(DataFrame.union, found), "hits")
+    # every document has one row with its number of words; copies count by the task that read them, so none brings back more than it read
+    all_rows = hits.filter("n_words is not null").groupBy("doc_id", "k1", "k2", "part").agg(F.max("n_words").cast("long").alias("n_words"), F.count("*").cast("int").alias("_rows"))
+    spans = hits.filter("n_words is null").groupBy("doc_id", "k1", "k2").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"), F.sort_array(F.collect_set("item_id")).alias("items"))
     covered = F.aggregate("spans", F.struct(F.lit(0).alias("to"), F.lit(0).cast("long").alias("n")), lambda a, s: F.struct(F.greatest(a["to"], s["end"]).alias("to"), (a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(a["to"], s["start"]))).alias("n")), lambda a: a["n"])
-    k = spans.select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), covered.alias("_n"), "items")
-    out = all_rows.join(k, all_rows["doc_id"].eqNullSafe(k["_d"]) & (all_rows["_key"] == k["_k"]), "left")
+    k = spans.select(F.col("doc_id").alias("_d"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), covered.alias("_n"), "items")
+    out = all_rows.join(k, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")), "left")
     n_hit = F.coalesce("_n", F.lit(0)).cast("long")
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), (n_hit > 0).alias("contaminated"), F.explode(F.array_repeat(F.lit(0), F.col("_rows"))).alias("_row")).drop("_row")
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), (n_hit > 0).alias("contaminated"), "k1", "k2", F.explode(F.array_repeat(F.lit(0), F.col("_rows"))).alias("_row")).drop("_row")
+
 
+def _n_words() -> Column:
+    return F.size("w") - (F.get("w", F.lit(0)) == "").cast("int") - ((F.size("w") > 1) & (F.element_at("w", -1) == "")).cast("int")
 
-def _block_hits(ws: Workspace, docs: DataFrame, wins: DataFrame, pairs: bool) -> DataFrame:
-    """doc_id, _key, item_id, start, end (places in ``w`` from 0, end exclusive) of every occurrence of the windows."""
+
+def _block_hits(ws: Workspace, docs: DataFrame, wins: DataFrame, pairs: bool, ends: bool) -> DataFrame:
+    """doc_id, k1, k2, part, n_words (null), item_id, start, end (places in ``w`` from 0, end exclusive) of every occurrence of the windows.
+
+    With ``ends`` one row more for each document, with its number of words and no occurrence.
+    """
     places = F.explode(F.sequence(F.lit(1), F.col("size") - 1)) if pairs else F.explode(F.array(F.lit(1)))
     mine = wins.select("item_id", "words", "size", places.alias("off"))
     word = lambda k: F.element_at("words", k)
@@ -106,11 +127,13 @@ def _block_hits(ws: Workspace, docs: DataFrame, wins: DataFrame, pairs: bool) ->
     # a window with a shingle that no document has occurs nowhere: its least frequency is 0
     ranked = mine.join(F.broadcast(frequency), "token", "left").groupBy("item_id", "words", "size").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "token")).alias("p"))
     prefix = ranked.filter("p.n > 0").select("p.token", "p.off", "words", "size", "item_id")
-    at = _occurrences(docs, ws.stage(prefix, "prefix"), pairs)
-    begin = F.col("at") - F.col("off")
-    fits = at.filter((begin >= 0) & (begin + F.col("size") <= F.size("w")))
-    same = fits.filter(F.slice("w", begin + 1, F.col("size")) == F.col("words"))
-    return same.select("doc_id", "_key", "item_id", begin.alias("start"), (begin + F.col("size")).alias("end"))
+    if ends:
+        prefix = prefix.union(docs.sparkSession.range(1).select(F.lit(_END).cast("long"), F.lit(0), F.array().cast("array<string>"), F.lit(0), F.lit(None).cast("string")))
+    at = _occurrences(docs, ws.stage(prefix, "prefix"), pairs, ends)
+    begin, is_end = F.col("at") - F.col("off"), F.col("size") == 0
+    fits = F.when(is_end, F.col("at") == F.size("w") + 1).otherwise((F.col("at") <= F.size("w")) & (begin >= 0) & (begin + F.col("size") <= F.size("w")))
+    same = at.filter(fits).filter(is_end | (F.slice("w", begin + 1, F.col("size")) == F.col("words")))
+    return same.select("doc_id", "k1", "k2", "part", F.when(is_end, _n_words()).alias("n_words"), "item_id", F.when(~is_end, begin).alias("start"), F.when(~is_end, begin + F.col("size")).alias("end"))
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -118,7 +141,11 @@ def report(found: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without a hit, with the columns of ``docs``."""
+    """The documents without a hit, with the columns of ``docs``.
+
+    Rows are told apart by id and text: of rows with one id, or none, only those go whose own text has a hit.
+    Null and wordless texts stay; repeated rows share their fate; columns may have any names; an empty table gives an empty one.
+    """
     ws = Workspace(docs.sparkSession, "drop_contaminated")
-    gone = ws.stage(decontaminate(docs, items, window, id_col, text_col).filter("contaminated").select(F.col("doc_id").alias("_id")).distinct(), "gone")
-    return docs.join(gone, F.col(f"`{id_col}`").cast("long").eqNullSafe(gone["_id"]), "left_anti")
+    gone = ws.stage(_decontaminated(docs, items, window, id_col, text_col).filter("contaminated").select("doc_id", "k1", "k2").distinct(), "gone")
+    return without(docs, gone, id_col, text_col)
