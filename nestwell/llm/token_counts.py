@@ -10,11 +10,11 @@ from nestwell.llm._common import frugal, id_and_text
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, n_chunks long, n_widened long"
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024, chunk_chars: int = 65_536, overlap_chars: int = 1_024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024, chunk_chars: int = 2_048, overlap_chars: int = 192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: UTF-8 bytes, tokens as the library counts them, and whether they exceed ``limit``.
 
-    Texts of at most ``chunk_chars`` characters are one chunk.  Longer ones are encoded in overlapping
-    chunks with offsets; neighbours are spliced at the first pre-token boundary that both have, and the
+    Texts of at most ``chunk_chars`` characters are one chunk.  Longer ones, of any length, are encoded in
+    overlapping chunks with offsets, so the memory of a task doesn't grow with a text's tokens; neighbours are spliced at the first pre-token boundary that both have, and the
     overlap doubles while there is none (see ``Encoder.resync``).  ``n_chunks`` and ``n_widened`` report it.
 
     Null text is empty and has 0 tokens; a null id stays null; repeated rows give repeated rows; an empty
