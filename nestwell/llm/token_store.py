@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,9 +83,9 @@ def write_store(ws: Workspace, docs: DataFrame, tokenizer_path: str, end_id: int
 
     * ``chunks`` (digest, n, payload): each distinct chunk of ids once, little-endian in 16 bits where
       the vocabulary allows, else 32; its address is the SHA-256 of its ids in 32 bits.
-    * ``recipes`` (doc_id, start, n_tokens, digests, sizes, root), range-partitioned in ascending order of
-      doc_id (nulls first, ties by content): the chunks of each document, its place in the stream of all
-      ids, and the Merkle root of its chunks.
+    * ``recipes`` (doc_id, start, place, n_tokens, digests, sizes, root), range-partitioned in ascending order
+      of doc_id (nulls first, ties by content): the chunks of each document, how many ids and documents are
+      before it, and the Merkle root of its chunks.
     * ``manifest`` (level, node, n_docs, n_tokens, root): the Merkle tree over all documents' roots.
 
     A task sends a chunk's payload on only when it first meets it, so a chunk that a third of all documents
@@ -93,7 +94,7 @@ def write_store(ws: Workspace, docs: DataFrame, tokenizer_path: str, end_id: int
     """
     spark = ws.spark
     spec = spark.sparkContext.broadcast(open(tokenizer_path, encoding="utf-8").read())
-    schema = "doc_id long, n_tokens long, root binary, digests array<binary>, sizes array<int>, fresh array<struct<digest: binary, n: int, payload: binary>>"
+    schema = "doc_id long, row long, n_tokens long, root binary, digests array<binary>, sizes array<int>, fresh array<struct<digest: binary, n: int, payload: binary>>"
 
     def encode(batches):
         from nestwell.llm._tokens import encoder
@@ -101,7 +102,10 @@ def write_store(ws: Workspace, docs: DataFrame, tokenizer_path: str, end_id: int
         enc, seen = encoder(spec.value), set()
         width = "<u2" if max(enc.tok.get_vocab_size(), end_id or 0) < 2**16 else "<u4"
         kind = pa.struct([("digest", pa.binary()), ("n", pa.int32()), ("payload", pa.binary())])
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
+            rows = pa.array(range(row, row + batch.num_rows), pa.int64())
+            row += batch.num_rows
             cols = [[], [], [], [], []]
             for x in batch.column("text"):
                 ids = enc.ids(x.as_py())
@@ -118,30 +122,35 @@ def write_store(ws: Workspace, docs: DataFrame, tokenizer_path: str, end_id: int
                 for c, v in zip(cols, (len(ids), merkle(digests), digests, sizes, fresh), strict=True):
                     c.append(v)
             kinds = (pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(kind))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["doc_id", "n_tokens", "root", "digests", "sizes", "fresh"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), rows, *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["doc_id", "row", "n_tokens", "root", "digests", "sizes", "fresh"])
 
     encoded = ws.stage(id_and_text(docs, id_col, text_col).mapInArrow(frugal(encode), schema), "encoded")
     fresh = encoded.select(F.explode("fresh").alias("c")).select("c.*")
     chunks = ws.stage(fresh.groupBy("digest").agg(F.first("n").alias("n"), F.first("payload").alias("payload")), "chunks")
-    recipes = prefix_sums(ws, encoded.drop("fresh"), ["doc_id", "root"], "n_tokens", "start")
+    # equal rows differ by their number alone, so that many of them spread over many tasks
+    recipes = prefix_sums(ws, encoded.drop("fresh"), ["doc_id", "root", "row"], "n_tokens", "start", "place").drop("row")
     manifest = _manifest(ws, recipes)
     ws.drop(encoded)
     return {"chunks": chunks, "recipes": recipes, "manifest": manifest}
 
 
 def _manifest(ws: Workspace, recipes: DataFrame) -> DataFrame:
-    """level, node, n_docs, n_tokens, root: the Merkle tree over all documents in stream order.
+    """level, node, n_docs, n_tokens, root: the Merkle tree over all documents in stream order, written level by level.
 
-    A node of level 0 covers the documents that start within 2**16 ids of the stream, one of level k
-    1,024 nodes of level k - 1; six levels reach 2**66 ids.  Every group is bounded and none reaches the driver.
+    A node of level 0 covers 1,024 documents, one of level k as many nodes of level k - 1; six levels reach
+    2**60 documents.  Every group is bounded and none reaches the driver.
     """
-    root = F.udf(lambda nodes: merkle([bytes(x.root) for x in nodes]), "binary")
-    level = recipes.select(F.shiftright("start", 16).alias("node"), F.col("start").alias("below"), F.lit(1).cast("long").alias("n_docs"), "n_tokens", "root")
+
+    def roots(batches):
+        for batch in batches:
+            found = [merkle([n["root"] for n in nodes.as_py()]) for nodes in batch.column("nodes")]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("node", "n_docs", "n_tokens")], pa.array(found, pa.binary())], ["node", "n_docs", "n_tokens", "root"])
+
+    level = recipes.select(F.shiftright("place", 10).alias("node"), F.col("place").alias("below"), F.lit(1).cast("long").alias("n_docs"), "n_tokens", "root")
     levels = []
     for k in range(6):
         level = level.groupBy("node").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("below", "root"))).alias("nodes"))
-        level = level.select("node", "n_docs", "n_tokens", root("nodes").alias("root"))
-        level = ws.stage(level, f"level{k}")
+        level = ws.stage(level.mapInArrow(frugal(roots), "node long, n_docs long, n_tokens long, root binary"), f"level{k}")
         levels.append(level.select(F.lit(k).alias("level"), "*"))
         level = level.select(F.shiftright("node", 10).alias("node"), F.col("node").alias("below"), "n_docs", "n_tokens", "root")
     return reduce(DataFrame.union, levels)
