@@ -109,7 +109,7 @@ def find_pii(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", te
 
     Kinds: email, ip (parts up to 255), card (13 to 19 digits, Luhn), phone (9 to 15 digits), iban (mod 97,
     whatever capitals or digits stand around it) and ssn.  A confirmed span has its kind's score, higher by 0.2 with a fitting word within 48 characters
-    before or 24 after it (up to the next candidate of its kind).  Spans below ``threshold`` go; the first
+    before or 24 after it, whatever else, numbers and other candidates included, lies between.  Spans below ``threshold`` go; the first
     four kinds always reach 0.5, so with the default only bare ssn patterns do.
 
     Null text is empty, with no findings; a null id stays null; repeated rows give repeated rows; an empty

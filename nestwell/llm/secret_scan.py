@@ -56,7 +56,9 @@ def scan_secrets(docs: DataFrame, reach: int = 200, id_col: str = "doc_id", text
     reported beside an identifier, a weak identifier beside a secret, an endpoint beside both; strong
     findings complete weak ones as well.  Parts are sorted by place and swept once in either direction with
     the nearest identifier and secret, so the join makes one row per part and never a pair: a text full of
-    parts costs no more than its length.  A weak part that overlaps a strong one is that strong one.
+    parts costs no more than its length.  A weak secret that overlaps a strong finding, wherever
+    either begins, is that finding and not reported beside it.  Identifiers and addresses are left out only where they begin on a
+    strong finding: one that begins before says whose it is.
 
     Null text is empty, with no findings; a null id stays null; repeated rows give repeated rows; an empty
     table gives an empty one; other columns are ignored.  One narrow pass, nothing is shuffled.
@@ -88,9 +90,12 @@ def scan_secrets(docs: DataFrame, reach: int = 200, id_col: str = "doc_id", text
         kind = x["p"]["kind"]
         return F.when(kind == "weak_id", meets(x, "secret")).when(kind == "weak_secret", meets(x, "id")).when(kind == "endpoint", meets(x, "id") & meets(x, "secret")).otherwise(F.lit(False))
 
-    # the end of the furthest strong finding so far tells whether a weak part lies on one
-    covered = scan(F.col("_all"), F.lit(-1), lambda c, p: F.when(p["role"] == "break", c).when(p["order"] < 3, F.greatest(c, p["end"])).otherwise(c), lambda c, p: c, "int")
-    weak = F.transform(F.filter(F.arrays_zip(linked.alias("l"), covered.alias("c")), lambda x: whole(x["l"]) & (x["c"] <= x["l"]["p"]["start"])), lambda x: x["l"]["p"])
+    # the end of the furthest strong finding so far and the start of the next one tell whether a weak part touches either
+    strong_at = lambda p: p["order"].between(0, 2)
+    covered = scan(F.col("_all"), F.lit(-1), lambda c, p: F.when(strong_at(p), F.greatest(c, p["end"])).otherwise(c), lambda c, p: c, "int")
+    ahead = F.reverse(scan(F.reverse("_all"), F.lit(-_NEVER), lambda c, p: F.when(strong_at(p), F.least(c, p["start"])).otherwise(c), lambda c, p: c, "int"))
+    free = lambda x: (x["c"] <= x["l"]["p"]["start"]) & ((x["l"]["p"]["kind"] != "weak_secret") | (x["n"] >= x["l"]["p"]["end"]))
+    weak = F.transform(F.filter(F.arrays_zip(linked.alias("l"), covered.alias("c"), ahead.alias("n")), lambda x: whole(x["l"]) & free(x)), lambda x: x["l"]["p"])
     df = df.withColumn("_found", F.when(F.size("_weak") > 0, F.array_sort(F.concat("_strong", weak))).otherwise(F.col("_strong")))
     plain = lambda c: F.transform(F.col(c), lambda p: F.struct(p["kind"].alias("kind"), p["start"].alias("start"), p["end"].alias("end")))
     return df.select("doc_id", plain("_strong").alias("base"), plain("_found").alias("findings"))
