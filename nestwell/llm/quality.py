@@ -9,11 +9,13 @@ from collections import Counter
 from itertools import islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from nestwell.llm._common import frugal, id_and_text
+from nestwell.llm._common import Workspace, frugal, id_and_text, unused
 
 #: Rows that train the scorer, at most, and the size of its hashed feature space.
 TRAIN_ROWS, DIMS = 8_192, 1 << 12
@@ -153,14 +155,16 @@ def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, p
     return {"posterior": posterior, "table": table, "prior": prior, "accuracy": (table[0, :, 1] / voted[0] + table[1, :, 2] / voted[1]) / 2}
 
 
-def fit_scorer(rows: list[np.ndarray], targets: np.ndarray, epochs: int = 300, rate: float = 2.0, decay: float = 1e-4) -> np.ndarray:
-    """Weights (DIMS and a bias) of logistic regression on soft targets, by full-batch gradient steps with momentum."""
+def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], targets: np.ndarray, epochs: int = 300, rate: float = 2.0, decay: float = 1e-4) -> np.ndarray:
+    """Weights (DIMS and a bias) of logistic regression on soft targets, by full-batch gradient steps with momentum.
+
+    ``rows`` are features and values; their arrays stay as small as they came, so TRAIN_ROWS texts with all DIMS features are some 350 MB.
+    """
     w, speed = np.zeros(DIMS + 1), np.zeros(DIMS + 1)
     if not len(rows):
         return w
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    flat = np.concatenate([r for r in rows if len(r)] or [np.zeros((0, 2))])
-    col, val = flat[:, 0].astype(np.int64), flat[:, 1]
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(k) for k, _ in rows])
+    col, val = np.concatenate([k for k, _ in rows]), np.concatenate([v for _, v in rows])
     weight = np.where(targets > 0.5, 0.5 / max(1.0, targets.sum()), 0.5 / max(1.0, (1 - targets).sum()))
     for _ in range(epochs):
         z = np.bincount(row, val * w[col], len(rows)) + w[-1]
@@ -171,59 +175,95 @@ def fit_scorer(rows: list[np.ndarray], targets: np.ndarray, epochs: int = 300, r
     return w
 
 
-def train(docs: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> dict:
-    """The label model and the scorer.  Votes of all documents are counted; only their combinations (3**10 at most) reach the driver.
+#: What a measured text is kept as: words, votes, and its features in order with their values.
+_MEASURED = ("n_words", "ballot", "keys", "values")
+_VOTES = {-1: "?", 0: "-", 1: "+"}
+
+
+def _arrays(keys: bytes, values: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(keys, "<u2"), np.frombuffer(values, "<f8")
 
-    The scorer learns from the ``train_rows`` distinct texts of the least hash, with the posterior of their
-    combination of votes: a bounded, documented sample, the same whatever the order of rows.
-    """
-    rows = id_and_text(docs, id_col, text_col)
 
-    def ballots(batches):
+def _measured(ws: Workspace, rows: DataFrame, text_col: str, names: list[str]) -> DataFrame:
+    """``rows`` with the whole text measured, once, and staged: what training and scoring read; ``names`` are the new columns'."""
+    schema = T.StructType([*rows.schema.fields, *[T.StructField(n, k) for n, k in zip(names, (T.LongType(), T.StringType(), T.BinaryType(), T.BinaryType()), strict=True)]])
+    where = rows.columns.index(text_col)
+
+    def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(["".join("-+?"[v] for v in vote(measure(x.as_py())[1])) for x in batch.column("text")], pa.string())], ["ballot"])
+            n, ballots, keys, values = [], [], [], []
+            for x in batch.column(where):
+                words, seen, feats = measure(str(x.as_py() or ""))
+                order = sorted(feats)
+                n.append(words)
+                ballots.append("".join(_VOTES[v] for v in vote(seen)))
+                keys.append(np.array(order, "<u2").tobytes())
+                values.append(np.array([feats[k] for k in order], "<f8").tobytes())
+            made = [pa.array(n, pa.int64()), pa.array(ballots, pa.string()), pa.array(keys, pa.binary()), pa.array(values, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *names])
+
+    return ws.stage(rows.mapInArrow(frugal(run, forget), schema), "measured")
+
 
-    found = rows.select("text").mapInArrow(frugal(ballots, forget), "ballot string").groupBy("ballot").count().collect()
+def fit(measured: DataFrame, hashes: Column, names: list[str], train_rows: int = TRAIN_ROWS) -> dict:
+    """The label model and the scorer from staged measures.  Votes of all documents are counted; only their combinations (3**10 at most) reach the driver.
+
+    The scorer learns from the ``train_rows`` distinct texts of the least hash, with the posterior of their
+    combination of votes: a bounded, documented sample, the same whatever the order of rows.
+    """
+    _, ballot, keys, values = names
+    found = measured.groupBy(F.col(ballot).alias("ballot")).agg(F.count("*").alias("n")).collect()
     patterns = np.array([["-+".find(c) for c in r["ballot"]] for r in found], np.int64).reshape(-1, len(LABELLERS))
-    model = fit_labellers(patterns, np.array([r["count"] for r in found], float))
-    posterior = {tuple(p): q for p, q in zip(patterns.tolist(), model["posterior"], strict=True)}
-    hashed = rows.select(F.xxhash64("text").alias("h"), "text")
+    model = fit_labellers(patterns, np.array([r["n"] for r in found], float))
+    posterior = {r["ballot"]: q for r, q in zip(found, model["posterior"], strict=True)}
+    hashed = measured.select(hashes.alias("h"), F.col(ballot).alias("ballot"), F.col(keys).alias("k"), F.col(values).alias("v"))
     bound = hashed.select("h").distinct().orderBy("h").limit(train_rows).agg(F.max("h")).first()[0]
+    sample = [] if bound is None else hashed.filter(F.col("h") <= bound).dropDuplicates(["h"]).collect()
+    sample.sort(key=lambda r: r["h"])
+    model["weights"] = fit_scorer([_arrays(r["k"], r["v"]) for r in sample], np.array([posterior[r["ballot"]] for r in sample]))
+    return model
 
-    def read(batches):
-        for batch in batches:
-            seen = [measure(x.as_py()) for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array([vote(s) for _, s, _ in seen], pa.list_(pa.int32())), pa.array([list(f) for _, _, f in seen], pa.list_(pa.int32())), pa.array([list(f.values()) for _, _, f in seen], pa.list_(pa.float64()))], ["h", "votes", "k", "v"])
 
-    sample = [] if bound is None else hashed.filter(F.col("h") <= bound).mapInArrow(frugal(read, forget), "h long, votes array<int>, k array<int>, v array<double>").dropDuplicates(["h"]).collect()
-    sample.sort(key=lambda r: r["h"])
-    model["weights"] = fit_scorer([np.array([r["k"], r["v"]], float).T.reshape(-1, 2) for r in sample], np.array([posterior[tuple(r["votes"])] for r in sample]))
+def train(docs: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> dict:
+    """The model of ``fit`` for ``docs``, whose texts are measured for it alone."""
+    ws = Workspace(docs.sparkSession, "quality_train")
+    rows = id_and_text(docs, id_col, text_col, F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("h"))
+    measured = _measured(ws, rows, "text", list(_MEASURED))
+    model = fit(measured, F.col("h"), list(_MEASURED), train_rows)
+    ws.close()
     return model
 
 
-def _quality(feats: dict[int, float], w: list[float]) -> float:
-    """0 for a text without words; the feature order is fixed, so sums repeat to the bit."""
-    if not feats:
+def _quality(keys: bytes, values: bytes, w: list[float]) -> float:
+    """0 for a text without words; features come in order, so sums repeat to the bit."""
+    if not keys:
         return 0.0
-    z = w[-1] + sum(w[k] * feats[k] for k in sorted(feats))
+    k, v = _arrays(keys, values)
+    z = w[-1] + sum(w[i] * x for i, x in zip(k.tolist(), v.tolist(), strict=True))
     return round(float(1 / (1 + np.exp(-np.clip(z, -50, 50)))), 6)
 
 
-def score(docs: DataFrame, model: dict, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, quality (0 to 1) and accepted: one row per input row, in one narrow pass over whole texts."""
-    weights = docs.sparkSession.sparkContext.broadcast(model["weights"])
+def _scores(keys: Column, values: Column, weights) -> Column:
+    """The scorer as a column over packed features, in Arrow batches."""
 
-    def run(batches):
+    @F.pandas_udf("double")
+    def run(k: pd.Series, v: pd.Series) -> pd.Series:
         w = weights.value.tolist()
-        for batch in batches:
-            n, out = [], []
-            for x in batch.column("text"):
-                words, _, feats = measure(x.as_py())
-                n.append(words)
-                out.append(_quality(feats, w))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(out, pa.float64()), pa.array([q >= threshold for q in out], pa.bool_())], ["doc_id", "n_words", "quality", "accepted"])
+        return pd.Series([_quality(a, b, w) for a, b in zip(k, v, strict=True)], dtype=float)
+
+    return run(keys, values)
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(frugal(run, forget), "doc_id long, n_words long, quality double, accepted boolean")
+
+def score(docs: DataFrame, model: dict, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_words, quality (0 to 1) and accepted by a model trained before: one row per input row, whole texts."""
+    ws = Workspace(docs.sparkSession, "quality_score")
+    return _scored(_measured(ws, id_and_text(docs, id_col, text_col), "text", list(_MEASURED)), model, threshold)
+
+
+def _scored(measured: DataFrame, model: dict, threshold: float) -> DataFrame:
+    weights = measured.sparkSession.sparkContext.broadcast(model["weights"])
+    quality = _scores(F.col("keys"), F.col("values"), weights)
+    return measured.select("doc_id", "n_words", quality.alias("quality")).withColumn("accepted", F.col("quality") >= threshold)
 
 
 def classify(docs: DataFrame, threshold: float = 0.5, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -231,24 +271,26 @@ def classify(docs: DataFrame, threshold: float = 0.5, train_rows: int = TRAIN_RO
 
     Ten heuristic labellers vote on every document or abstain; expectation-maximisation over the counts
     of all vote combinations estimates their accuracies and each combination's posterior; a logistic
-    scorer over hashed word shapes is trained on these and scores every whole text.
+    scorer over hashed word shapes is trained on these and scores every whole text.  Each text is measured
+    once; its votes and features are staged for both.
 
     Null and wordless texts have quality 0 and are rejected; a null id stays null; repeated rows give
     repeated rows with equal scores; an empty table gives an empty one; other columns are ignored.
     """
-    return score(docs, train(docs, train_rows, id_col, text_col), threshold, id_col, text_col)
+    ws = Workspace(docs.sparkSession, "quality")
+    rows = id_and_text(docs, id_col, text_col, F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("h"))
+    made = _measured(ws, rows, "text", list(_MEASURED))
+    return _scored(made, fit(made, F.col("h"), list(_MEASURED), train_rows), threshold)
 
 
 def drop_rejected(docs: DataFrame, threshold: float = 0.5, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The accepted documents, with the columns of ``docs``: scored where they lie, without a join."""
-    from pyspark.sql import types as T
-
-    weights = docs.sparkSession.sparkContext.broadcast(train(docs, train_rows, id_col, text_col)["weights"])
-    where = docs.columns.index(text_col)
+    """The accepted documents, with the columns of ``docs``: rows are staged with their measures and filtered there, without a join.
 
-    def run(batches):
-        w = weights.value.tolist()
-        for batch in batches:
-            yield batch.filter(pa.array([_quality(measure(str(x.as_py() or ""))[2], w) >= threshold for x in batch.column(where)], pa.bool_()))
-
-    return docs.mapInArrow(frugal(run, forget), T.StructType(docs.schema.fields))
+    Every row is judged by its own text, so ids that are null or shared lose nothing; null and wordless texts
+    go; repeated rows share their fate; columns may have any names; an empty table gives an empty one.
+    """
+    ws, names = Workspace(docs.sparkSession, "drop_rejected"), unused(docs.columns, *_MEASURED)
+    made = _measured(ws, docs, text_col, names)
+    model = fit(made, F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))), names, train_rows)
+    weights = docs.sparkSession.sparkContext.broadcast(model["weights"])
+    return made.filter(_scores(F.col(names[2]), F.col(names[3]), weights) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
