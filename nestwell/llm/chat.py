@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,23 +48,33 @@ def schema_errors(name: Column, arguments: Column, tools: dict[str, dict]) -> Co
 def _levels(ws: Workspace, calls: DataFrame) -> DataFrame:
     """conv_id, id, level: 0 for calls that wait for no other, else one more than the highest they wait for; null in a cycle.
 
-    Waits that name no call of the conversation are met from the start.  One round of joins a level.
+    Waits that name no call of the conversation are met from the start.  Every wait has a length, and its
+    end's level once that is known.  In each round a wait for a call that itself waits for one call only is
+    passed on to that one, so chains halve; calls whose waits all end in known levels have theirs.  So a
+    chain of n calls takes some log2(n) rounds, each of one aggregation and one join, with the waits staged.
+    A round that makes no call known leaves cycles and what waits for them.
     """
     nodes = calls.select("conv_id", "id").distinct()
     edges = calls.select("conv_id", "id", F.explode("after").alias("dep")).distinct()
     edges = edges.join(nodes.select("conv_id", F.col("id").alias("dep")), ["conv_id", "dep"], "left_semi")
-    edges = ws.stage(edges.select("conv_id", "id", "dep"), "edges")
-    if edges.isEmpty():
+    edges = ws.stage(edges.select("conv_id", "id", "dep", F.lit(1).cast("long").alias("far"), F.lit(None).cast("long").alias("known")), "edges")
+    waits, before = edges.count(), -1
+    if not waits:
         return nodes.withColumn("level", F.lit(0))
-    left, rounds, k = edges, [ws.stage(nodes.join(edges, ["conv_id", "id"], "left_anti").withColumn("level", F.lit(0)), "level")], 0
-    while not rounds[-1].isEmpty():
-        k += 1
-        done = rounds[-1].select("conv_id", F.col("id").alias("dep"))
-        freed = ws.stage(left.join(done, ["conv_id", "dep"], "left_anti"), "left")
-        touched = left.join(done, ["conv_id", "dep"], "left_semi").select("conv_id", "id").distinct()
-        rounds.append(ws.stage(touched.join(freed, ["conv_id", "id"], "left_anti").withColumn("level", F.lit(k)), "level"))
-        left = freed
-    return nodes.join(reduce(DataFrame.union, rounds), ["conv_id", "id"], "left")
+    whole = F.bool_and(F.col("known").isNotNull())
+    while True:
+        ends = edges.groupBy("conv_id", "id").agg(F.count("*").alias("n"), F.min("dep").alias("dep2"), F.min("far").alias("far2"), F.when(whole, F.max(F.col("known") + F.col("far"))).alias("level"))
+        done = edges.filter("known is not null").count()
+        if done in (before, waits):
+            return nodes.join(ends.select("conv_id", "id", "level", F.lit(True).alias("_waits")), ["conv_id", "id"], "left").select("conv_id", "id", F.when(F.col("_waits"), F.col("level").cast("int")).otherwise(0).alias("level"))
+        beyond = ends.select("conv_id", F.col("id").alias("dep"), "n", "dep2", "far2", "level")
+        met = edges.join(beyond, ["conv_id", "dep"], "left")
+        # a call with no row of its own waits for nothing: level 0
+        now = F.coalesce("known", F.when(F.col("n").isNull(), 0).otherwise(F.col("level")))
+        on = now.isNull() & (F.col("n") == 1)
+        after = ws.stage(met.select("conv_id", "id", F.when(on, F.col("dep2")).otherwise(F.col("dep")).alias("dep"), F.when(on, F.least(F.col("far") + F.col("far2"), F.lit(1 << 40))).otherwise(F.col("far")).alias("far"), now.alias("known")), "edges")
+        ws.drop(edges)
+        edges, before = after, done
 
 
 #: A running value passes along blocks of 2**TURN_BITS turns, so no task holds a whole conversation.
@@ -95,6 +103,36 @@ def _answers(calls: DataFrame, results: DataFrame) -> DataFrame:
     return owned.drop("r").join(first, ["conv_id", "id", "owner"], "left")
 
 
+def as_calls(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """conv_id, turn, role, text: conversations of plain messages with every answer told as a tool call and its result.
+
+    For transcripts of tool users that were stored as prose.  A turn of a user stays, at twice its turn.  An
+    assistant's turn t becomes two: at 2t a call ``answer-t`` of the tool ``answer`` with the turn and the
+    user's text of turn t - 1 (absent if there is none), which waits for the call of turn t - 2; and at
+    2t + 1 a ``tool`` turn with the text as its result.  Other roles stay as they are, at twice their turn.
+    A text that is a JSON object with calls of its own, or a row without turn or conversation, stays, too.
+    Rows of one turn are told apart by nothing, so repeated rows give repeated calls.  One join by
+    conversation and turn with the users' texts, of which a repeated turn counts once, the least text.
+    """
+    col = lambda c, kind: F.col(f"`{c}`").cast(kind)
+    base = turns.select(col(conv_col, "long").alias("conv_id"), col(turn_col, "long").alias("turn"), col(role_col, "string").alias("role"), col(text_col, "string").alias("text"))
+    asked = base.filter("lower(role) = 'user' and conv_id is not null and turn is not null").groupBy("conv_id", (F.col("turn") + 1).alias("turn")).agg(F.min("text").alias("asked"))
+    own = F.coalesce(F.try_parse_json("text"), F.parse_json(F.lit("null")))
+    answers = (F.lower("role") == "assistant") & F.col("conv_id").isNotNull() & F.col("turn").isNotNull() & ~(F.ltrim(F.coalesce("text", F.lit(""))).startswith("{") & F.coalesce(_at(own, "$.tool_calls", "array<variant>").isNotNull(), F.lit(False)))
+    both = base.join(asked, ["conv_id", "turn"], "left").withColumn("_answer", F.coalesce(answers, F.lit(False)))
+    name = lambda t: F.concat(F.lit("answer-"), t.cast("string"))
+    call = F.struct(F.struct(F.col("asked").alias("question"), "turn").alias("arguments"), F.array(name(F.col("turn") - 2)).alias("after"), name(F.col("turn")).alias("id"), F.lit("answer").alias("name"))
+    told = F.to_json(F.struct(F.array(call).alias("tool_calls")))
+    result = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("content"), name(F.col("turn")).alias("tool_call_id")))
+    one = lambda shift, role, text: F.struct((F.col("turn") * 2 + shift).alias("turn"), role.alias("role"), text.alias("text"))
+    rows = F.when(F.col("_answer"), F.array(one(0, F.col("role"), told), one(1, F.lit("tool"), result))).otherwise(F.array(one(0, F.col("role"), F.col("text"))))
+    return both.select("conv_id", F.explode(rows).alias("r")).select("conv_id", "r.*")
+
+
+#: The schema of what ``as_calls`` makes.
+ANSWER: dict[str, dict] = {"answer": {"properties": {"question": {"type": "string"}, "turn": {"type": "integer"}}, "required": ["question", "turn"], "additionalProperties": False}}
+
+
 def format_chat(turns: DataFrame, tools: dict[str, dict] | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", per_call: bool = False) -> DataFrame:
     """One row per message, tool call and tool result, to be read in the order conv_id, turn, level, part.
 

@@ -72,9 +72,9 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from nestwell.llm.chat import format_chat
+    from nestwell.llm.chat import ANSWER, TOOLS, as_calls, format_chat
 
-    return format_chat(_table(spark, sf_dir, "conversations"), per_call=True)
+    return format_chat(as_calls(_table(spark, sf_dir, "conversations")), tools=TOOLS | ANSWER, per_call=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -111,4 +111,15 @@ def oracle_sql() -> dict[str, str]:
             its AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM hit) GROUP BY doc_id)
             SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
             FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)""",
+        "op10_chat_format": """
+            WITH t AS (SELECT conv_id, turn, lower(coalesce(role, 'unknown')) AS role, coalesce(text, '') AS text FROM conversations),
+            a AS (SELECT t.conv_id, t.turn, t.text, u.text AS asked, 'answer-' || t.turn AS id,
+                         t.turn // 2 - row_number() OVER (PARTITION BY t.conv_id, t.turn % 2 ORDER BY t.turn) AS run
+                  FROM t LEFT JOIN t u ON u.conv_id = t.conv_id AND u.turn = t.turn - 1 AND u.role = 'user' WHERE t.role = 'assistant'),
+            c AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn % 2, run ORDER BY turn) - 1 AS level FROM a)
+            SELECT conv_id, turn * 2 AS turn, -1 AS part, 'message' AS kind, NULL AS call_id, NULL AS name, -1 AS level, 'plain' AS status, '' AS errors,
+                   CASE WHEN role = 'assistant' THEN '{"role":"assistant"}' ELSE json_object('content', text, 'role', role)::VARCHAR END AS json FROM t
+            UNION ALL SELECT conv_id, turn * 2, 0, 'call', id, 'answer', level, 'linked', CASE WHEN asked IS NULL THEN 'missing:question' ELSE '' END,
+                   json_object('arguments', CASE WHEN asked IS NULL THEN json_object('turn', turn) ELSE json_object('question', asked, 'turn', turn) END, 'id', id, 'name', 'answer', 'result', text)::VARCHAR FROM c
+            UNION ALL SELECT conv_id, turn * 2 + 1, 0, 'result', id, NULL, NULL, 'linked', '', json_object('content', text, 'tool_call_id', id)::VARCHAR FROM c""",
     }
