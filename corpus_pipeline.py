@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nestwell.llm._common import Workspace
+from nestwell.llm._common import Workspace, scratch
 from nestwell.llm.decontaminate import drop_contaminated
 from nestwell.llm.exact_dedup import drop_repeats
 from nestwell.llm.near_dedup import drop_near
@@ -43,6 +43,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
-        docs = ws.stage(stage(spark, docs, sf_dir), name)
+        with scratch():
+            docs = ws.stage(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            ws.drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
