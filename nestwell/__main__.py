@@ -21,14 +21,18 @@ def main(argv: list[str] | None = None) -> int:
         if name == "compact":
             c.add_argument("page_size", nargs="?", type=int)
     args = p.parse_args(argv)
+    from pyspark.sql import SparkSession
+
     from nestwell.session import local_session
     from nestwell.sources import maintenance as m
     from nestwell.sources.store import Options, Store
 
     try:
         root = args.store if "store" in args else args.source
-        m.require(root)
-        store = Store(local_session(shuffle_partitions=4), root, Options(read_only=args.command in ("info", "stats", "verify")))
+        m.require_local(root)
+        spark = SparkSession.getActiveSession() or local_session(shuffle_partitions=4)
+        m.require(spark, root)
+        store = Store(spark, root, Options(read_only=args.command in ("info", "stats", "verify")))
         code = 0
         if args.command == "info":
             out = {"ok": True, **m.info(store)}

@@ -125,8 +125,10 @@ class ReadCollection:
         wanted = [(i, bytearray(self._key.pack(k))) for i, k in enumerate(keys)]
         if not wanted:
             return []
-        rows = ordered.multi_get(self._live().select("key", "value"), "key", self.bucket.tx.spark.createDataFrame(wanted, "pos int, key binary"))
-        return [None if r.value is None else self._value.unpack(bytes(r.value)) for r in rows.collect()]
+        live = ordered.only_keys(self._live().select("key", "value"), "key", [k for _, k in wanted])
+        rows = ordered.multi_get(live, "key", self.bucket.tx.spark.createDataFrame(wanted, "pos int, key binary"))
+        with E.typed_reads():
+            return [None if r.value is None else self._value.unpack(bytes(r.value)) for r in rows.collect()]
 
     def iter(self) -> DataFrame:
         return self._decoded(self._live())
@@ -229,9 +231,15 @@ class WriteCollection(ReadCollection):
         return self.bucket.tx.spark.createDataFrame(data, "key binary, value binary, seq bigint")
 
     def insert_many(self, rows: DataFrame | Iterable) -> int:
+        """Upserts all rows, the last of a key by ``seq`` winning; a column ``expires_at_ms`` gives them deadlines (null: none)."""
         ops = self._encoded(rows)
         n = self.bucket.insert_many(ops)
         self._clear_deadlines(ops.select("key"))
+        if isinstance(rows, DataFrame) and "expires_at_ms" in rows.columns:
+            seq = F.col("seq") if "seq" in rows.columns else F.lit(0)
+            told = rows.select(self._key.encode(F.col("key")).alias("key"), F.col("expires_at_ms").cast("bigint").alias("expires_at_ms"), seq.alias("seq"))
+            last = writes.last_write_wins(told, ["key"], ["seq"], ["expires_at_ms"]).where("expires_at_ms is not null")
+            self.bucket.set_deadlines(last)
         return n
 
     def _clear_deadlines(self, keys: DataFrame) -> None:
@@ -271,6 +279,51 @@ class WriteCollection(ReadCollection):
         r = self.bucket.compare_exchange(self._key.pack(key), None if expected is None else self._value.pack(expected), self._value.pack(value))
         return CompareOutcome(r.applied, self._out(r.observed), self._out(r.current))
 
+    def _bytes_of(self, rows: DataFrame, *values: str) -> DataFrame:
+        return rows.select(self._key.encode(F.col("key")).alias("key"), *[self._value.encode(F.col(c)).alias(c) for c in values])
+
+    def _told(self, outcome: DataFrame) -> DataFrame:
+        """key, applied, observed, current, decoded."""
+        return outcome.select(self._key.decode(F.col("key")).alias("key"), "applied", self._value.decode(F.col("observed")).alias("observed"), self._value.decode(F.col("current")).alias("current"))
+
+    def put_if_absent_many(self, rows: DataFrame) -> DataFrame:
+        """Inserts every (key, value) whose key is missing; an expired record still counts as present. See ``Bucket.put_if_absent_many``."""
+        return self._told(self.bucket.put_if_absent_many(self._bytes_of(rows, "value")))
+
+    def compare_exchange_many(self, rows: DataFrame) -> DataFrame:
+        """``compare_exchange`` for every (key, expected, value); deadlines stay as they are."""
+        return self._told(self.bucket.compare_exchange_many(self._bytes_of(rows, "expected", "value")))
+
+    def delete_if_value_many(self, rows: DataFrame) -> DataFrame:
+        return self._told(self.bucket.delete_if_value_many(self._bytes_of(rows, "expected")))
+
+    def fetch_add_many(self, rows: DataFrame) -> DataFrame:
+        """``fetch_add`` for every (key, amount, seq) in the order of ``seq``, a number: key, amount, seq and the value before, ``previous``.
+
+        Missing and expired counters start at 0, and the records lose their deadlines.  A value out of range
+        at any step is an error and nothing is written.  Hot counters are cut into slices of the order.
+        """
+        if not getattr(self._value, "numeric", False):
+            raise E.CodecError("the value codec isn't numeric")
+        tx, wide = self.bucket.tx, "decimal(38,0)"
+        tx.need_write()
+        ops = tx.keep(rows.select(self._key.encode(F.col("key")).alias("key"), F.col("amount").cast(wide).alias("amount"), "seq"), count=False)
+        old = self._live().select("key", self._value.decode(F.col("value")).cast(wide).alias("_old"))
+        steps = writes.fetch_add_previous(ops, "key", ["seq"], "amount").join(old, "key", "left")
+        before = (F.coalesce("_old", F.lit(0)).cast(wide) + F.col("previous").cast(wide)).cast(wide)
+        steps = tx.keep(steps.select("key", "amount", "seq", before.alias("previous"), (before + F.col("amount")).cast(wide).alias("after")), count=False)
+        ends = steps.agg(F.min("after"), F.max("after")).first()
+        try:
+            for x in ends:
+                if x is not None:
+                    self._value.pack(int(x))
+        except Exception as e:
+            raise OverflowError("fetch_add") from e
+        last = writes.last_write_wins(steps, ["key"], ["seq"], ["after"])
+        self.bucket.insert_many(last.select("key", self._value.encode(F.col("after")).alias("value")))
+        self._clear_deadlines(last.select("key"))
+        return steps.select(self._key.decode(F.col("key")).alias("key"), "amount", "seq", "previous")
+
     def _pop(self, found: tuple | None) -> tuple | None:
         if found is not None:
             self.remove(found[0])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 
 class StoreError(Exception):
     """Anything that a store or one of its buckets refuses."""
@@ -95,3 +97,24 @@ class TransactionError(Exception):
     def __init__(self, storage: StoreError | None = None, application: BaseException | None = None):
         super().__init__(str(storage or application))
         self.storage, self.application = storage, application
+
+
+#: What Spark says of files that are gone, cut short or no Parquet.
+_DAMAGE = ("FAILED_READ_FILE", "FileNotFoundException", "is not a Parquet file", "PATH_NOT_FOUND", "Could not read footer", "CANNOT_READ_FILE_FOOTER")
+
+
+def unreadable(e: BaseException) -> bool:
+    return any(x in str(e) for x in _DAMAGE)
+
+
+@contextmanager
+def typed_reads():
+    """Turns Spark's errors about unreadable files into ``InvalidStore``."""
+    try:
+        yield
+    except StoreError:
+        raise
+    except Exception as e:
+        if unreadable(e):
+            raise InvalidStore(f"a data file can't be read: {str(e).splitlines()[0][:200]}") from e
+        raise

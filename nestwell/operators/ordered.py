@@ -26,8 +26,19 @@ def point(df: DataFrame, key: str, value: Any) -> DataFrame:
 
 
 def multi_get(df: DataFrame, key: str, wanted: DataFrame, pos: str = "pos") -> DataFrame:
-    """Every wanted key at its position, also twice and also when nothing is found (nulls)."""
-    return wanted.join(df, key, "left").orderBy(pos)
+    """Every wanted key at its position, also twice and also when nothing is found (nulls).
+
+    The table meets the distinct wanted keys in a semi-join first, so of a large table only what was asked
+    for is shuffled: Spark broadcasts the keys up to ``spark.sql.autoBroadcastJoinThreshold``, which
+    checks their size, and else joins by sorting.
+    """
+    return wanted.join(df.join(wanted.select(key).distinct(), key, "left_semi"), key, "left").orderBy(pos)
+
+
+def only_keys(df: DataFrame, key: str, keys: list) -> DataFrame:
+    """Rows with one of a few keys, as a condition that reaches the scan; more than 256 are left to the join."""
+    found = {bytes(k) if isinstance(k, bytearray) else k for k in keys}
+    return df.where(F.col(key).isin(*[F.lit(k) for k in sorted(found)])) if len(found) <= 256 else df
 
 
 def within(key: str, low: Bound | None = None, high: Bound | None = None) -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -14,3 +18,24 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch_root(spark: SparkSession, name: str) -> str:
+    """A folder for a store that lasts as long as this driver: below ``spark.checkpoint.dir``, or a temporary one in a local session."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="nestwell-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    root = f"{found.rstrip('/')}/nestwell/{name}-{uuid.uuid4().hex}"
+
+    def remove() -> None:
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(root)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session has ended
+            return
+
+    atexit.register(remove)
+    return root

@@ -1,44 +1,62 @@
-"""Backup, compaction and salvage of stores."""
+"""Backup, compaction and salvage of stores, wherever Spark can read and write.
+
+Snapshots are written by executors; only journal rows and physical copies pass file by file through Hadoop's
+file systems on the driver, by a few threads.
+"""
 
 from __future__ import annotations
 
+import io
 import os
-import shutil
 import tarfile
-import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 from typing import BinaryIO
 
 from pyspark.sql import functions as F
 
 from nestwell.errors import InvalidStore
-from nestwell.sources.store import Manifest, Options, Snapshot, Store
+from nestwell.sources.store import Files, Manifest, Options, Snapshot, Store, rows_of
 
 
-def _write_copy(store: Store, m: Manifest, target: str, page_size: int | None = None) -> None:
-    """One snapshot as a store of one segment: beside the target first, checked, then under its name."""
-    if os.path.realpath(target) == os.path.realpath(store.root):
+def _copy_files(names: list[str], source: Files, target: Files, threads: int = 8) -> None:
+    with ThreadPoolExecutor(threads) as pool:
+        list(pool.map(lambda n: source.copy(n, target), names))
+
+
+def _place(store: Store, target: str) -> Files:
+    """Files of a new folder beside the target; the target must be free, and another one than the store."""
+    jvm, conf = store.spark._jvm, store.spark._jsc.hadoopConfiguration()
+    full = lambda name: (lambda p: p.getFileSystem(conf).makeQualified(p).toString())(jvm.org.apache.hadoop.fs.Path(name.rstrip("/")))
+    if full(target) == full(store.root):
         raise ValueError("a store can't be copied onto itself")
-    if os.path.exists(target):
+    if Files(store.spark, target).exists(""):
         raise FileExistsError(target)
-    temp = f"{target.rstrip('/')}.{uuid.uuid4().hex}"
+    return Files(store.spark, f"{target.rstrip('/')}.{uuid.uuid4().hex}")
+
+
+def _snapshot_copy(store: Store, m: Manifest, files: Files, page_size: int | None = None) -> None:
+    """One snapshot as a store of one segment, checked."""
+    made, snap = Store(store.spark, files.root, Options(page_size=page_size or m.page_size)), Snapshot(store, m)
+    fresh = Manifest(m.tx_id, [], m.root_next_int, page_size or m.page_size, m.schemas, m.journal, m.checkpoints)
+    staged = made.stage(m.tx_id, snap.entries.withColumn("deleted", F.lit(False)), snap.ttl, [])
+    rows = [rows_of(h) for h in (m.journal or {"headers": []})["headers"] if h["n"]]
+    _copy_files([n for r in rows for n, _ in store.files.walk(r)], store.files, files)
+    if m.tx_id == 0:
+        made.files.delete(made._manifest_name(0))
+    made.publish(fresh, staged)
+    made.verify()
+
+
+def _write_copy(store: Store, m: Manifest, target: str, page_size: int | None = None) -> None:
+    """Beside the target first, checked, then under its name."""
+    files = _place(store, target)
     try:
-        made, snap = Store(store.spark, temp, Options(page_size=page_size or m.page_size)), Snapshot(store, m)
-        fresh = Manifest(m.tx_id, [], m.root_next_int, page_size or m.page_size, m.schemas, m.journal, m.checkpoints)
-        staged = made.stage(m.tx_id, snap.entries.withColumn("deleted", F.lit(False)), snap.ttl, [])
-        if m.journal:
-            for h in m.journal["headers"]:
-                name = f"journal/{h['tx_id']:020d}"
-                if h["n"]:
-                    shutil.copytree(f"{store.root}/{name}", f"{temp}/{name}")
-        if m.tx_id == 0:
-            made.files.delete(made._manifest_name(0))
-        made.publish(fresh, staged)
-        made.verify()
-        os.rename(temp, target)
+        _snapshot_copy(store, m, files, page_size)
+        files.move(target)
     except BaseException:
-        shutil.rmtree(temp, ignore_errors=True)
+        files.delete("")
         raise
 
 
@@ -54,29 +72,53 @@ def compact_to(store: Store, target: str, page_size: int | None = None) -> None:
         _write_copy(store, tx.manifest, target, page_size)
 
 
+class _Chunks(io.RawIOBase):
+    """A file of a store as a stream, a block at a time."""
+
+    def __init__(self, files: Files, name: str):
+        self._blocks, self._left = files.chunks(name), b""
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, out) -> int:
+        if not self._left:
+            self._left = next(self._blocks, b"")
+        n = min(len(out), len(self._left))
+        out[:n], self._left = self._left[:n], self._left[n:]
+        return n
+
+
 def backup_writer(store: Store, out: BinaryIO) -> None:
-    """A backup as a tar stream."""
-    with tempfile.TemporaryDirectory() as d:
-        backup_to(store, f"{d}/store")
+    """A backup as a tar stream, made beside the store and sent block by block."""
+    files = Files(store.spark, f"{store.root}.{uuid.uuid4().hex}")
+    try:
+        with store.view() as tx:
+            _snapshot_copy(store, tx.manifest, files)
         with tarfile.open(fileobj=out, mode="w|") as tar:
-            tar.add(f"{d}/store", arcname=".")
+            for name, size in files.walk():
+                if not name.rpartition("/")[2].startswith("."):
+                    entry = tarfile.TarInfo(f"./{name}")
+                    entry.size = size
+                    tar.addfile(entry, io.BufferedReader(_Chunks(files, name), 1 << 20))
+    finally:
+        files.delete("")
 
 
 def physical_backup_to(store: Store, target: str) -> None:
     """The files themselves, byte for byte, while no writer is at work."""
-    if os.path.exists(target):
-        raise FileExistsError(target)
-    temp = f"{target.rstrip('/')}.{uuid.uuid4().hex}"
-    store._lock(None)
-    try:
-        shutil.copytree(store.root, temp, ignore=shutil.ignore_patterns("writer.lock"))
-    finally:
-        store.unlock()
+    files = _place(store, target)
     try:
-        Store(store.spark, temp, Options(read_only=True)).verify()
-        os.rename(temp, target)
+        token = store._lock(None)
+        try:
+            names = [n for n, _ in store.files.walk() if n != "writer.lock" and not n.rpartition("/")[2].startswith(".")]
+            _copy_files(names, store.files, files)
+        finally:
+            store.unlock(token)
+        Store(store.spark, files.root, Options(read_only=True)).verify()
+        files.move(target)
     except BaseException:
-        shutil.rmtree(temp, ignore_errors=True)
+        files.delete("")
         raise
 
 
@@ -86,6 +128,11 @@ class SalvageManifest:
     copied_records: int
     skipped_pages: list[str]
     skipped_records: list[dict]
+    #: The table of all skipped records, if there are any; ``skipped_records`` holds the first LISTED.
+    skipped_table: str | None = None
+
+
+LISTED = 10_000
 
 
 def salvage_to(store: Store, target: str) -> SalvageManifest:
@@ -106,8 +153,7 @@ def salvage_to(store: Store, target: str) -> SalvageManifest:
     from nestwell.operators import integrity
 
     lost = integrity.violations(entries).where("invariant = 'parent_exists'").select("path").distinct()
-    unreachable = entries.join(lost, "path", "left_semi")
-    records = [{"path": r.path, "key": bytes(r.key).hex()} for r in unreachable.select("path", "key").limit(10_000).collect()]
+    unreachable = entries.join(lost, "path", "left_semi").select("path", F.lower(F.hex("key")).alias("key"))
     entries = entries.join(lost, "path", "left_anti")
     out = Store(store.spark, target)
     if out.latest().tx_id or out.latest().segments:
@@ -115,7 +161,14 @@ def salvage_to(store: Store, target: str) -> SalvageManifest:
     staged = out.stage(m.tx_id or 1, entries.withColumn("deleted", F.lit(False)), ttl, [])
     out.publish(Manifest(m.tx_id or 1, [], m.root_next_int, m.page_size, m.schemas, None, {}), staged)
     counts = {r.kind: r["count"] for r in Snapshot(out, out.latest()).entries.groupBy("kind").count().collect()}
-    return SalvageManifest(counts.get("bucket", 0), counts.get("kv", 0), skipped, records)
+    lost_at = None
+    if not unreachable.isEmpty():
+        # as many as there are: beside the salvaged store as a table, and the first of them here
+        lost_at = f"{out.root}/salvage/skipped"
+        unreachable.write.parquet(lost_at)
+        unreachable = store.spark.read.parquet(lost_at)
+    records = [r.asDict() for r in unreachable.orderBy("path", "key").limit(LISTED).collect()]
+    return SalvageManifest(counts.get("bucket", 0), counts.get("kv", 0), skipped, records, lost_at)
 
 
 def _sound(store: Store, segments: list[dict], name: str, schema: str):
@@ -130,6 +183,12 @@ def info(store: Store) -> dict:
     return {"page_size": i.page_size, "version": i.version, "transaction_id": i.transaction_id, "metadata_page": i.metadata_page, "file_bytes": i.file_bytes}
 
 
-def require(root: str) -> None:
-    if not os.path.isdir(os.path.join(root, "manifest")):
+def require_local(root: str) -> None:
+    """Refuses a path of this machine that holds no store before a session is started for it."""
+    if "://" not in root and not os.environ.get("HADOOP_CONF_DIR") and not os.path.isdir(os.path.join(root, "manifest")):
+        raise InvalidStore(f"{root}: no store here")
+
+
+def require(spark, root: str) -> None:
+    if not Files(spark, root).exists("manifest"):
         raise InvalidStore(f"{root}: no store here")

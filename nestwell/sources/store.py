@@ -23,18 +23,18 @@ from enum import Enum
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nestwell.errors import CapacityExceeded, InvalidStore, ReadOnlyStore, StoreError, TransactionError, WriterTimeout
-from nestwell.operators import integrity
+from nestwell.errors import CapacityExceeded, InvalidStore, ReadOnlyStore, StoreError, TransactionError, WriterTimeout, unreadable
+from nestwell.operators import integrity, writes
 from nestwell.operators.tree import ENTRIES, TTL
 
 FORMAT = 1
 DELTA = "path string, key binary, kind string, value binary, next_int bigint, deleted boolean"
 TTL_DELTA = "path string, key binary, expires_at_ms bigint"
 CHANGES = "tx_id bigint, seq bigint, bucket_path string, key binary, op string"
-#: Rows of a data file at most, so that one is never too large to be hashed as a whole.
-MAX_FILE_ROWS = 1_000_000
-#: Segments over the oldest one before a commit folds them.
-FOLD_AFTER = 8
+#: Rows of a data file at most, and bytes it is planned for; one above MAX_FILE_BYTES can't be hashed and refuses its commit.
+MAX_FILE_ROWS, FILE_BYTES, MAX_FILE_BYTES = 1_000_000, 256 << 20, 2_000_000_000
+#: So many newest segments of one size class or a smaller one are folded by a commit; a class is TIER times the one below.
+FOLD_AFTER, TIER = 8, 16
 
 
 class Verification(Enum):
@@ -164,6 +164,37 @@ class Files:
         p, fs = self._at(name)
         fs.delete(p, True)
 
+    def walk(self, name: str = "") -> list[tuple[str, int]]:
+        """All files below, by name from the root, with their sizes."""
+        p, fs = self._at(name)
+        out = []
+        for s in fs.listStatus(p) if fs.exists(p) else []:
+            inner = f"{name}/{s.getPath().getName()}".lstrip("/")
+            out += self.walk(inner) if s.isDirectory() else [(inner, s.getLen())]
+        return sorted(out)
+
+    def copy(self, name: str, to: Files) -> None:
+        """One file, byte for byte, to the same name below another root, whatever file systems the two lie on."""
+        (p, fs), (q, other) = self._at(name), to._at(name)
+        if not self.jvm.org.apache.hadoop.fs.FileUtil.copy(fs, p, other, q, False, False, self._conf):
+            raise StoreError(f"{name} can't be copied")
+
+    def move(self, target: str) -> None:
+        """The whole tree to another root of the same file system; refused if something is there."""
+        q = self.jvm.org.apache.hadoop.fs.Path(target)
+        p, fs = self._at("")
+        if fs.exists(q) or not fs.rename(p, q):
+            raise FileExistsError(target)
+
+    def chunks(self, name: str, size: int = 1 << 20):
+        p, fs = self._at(name)
+        s = fs.open(p)
+        try:
+            while data := bytes(s.readNBytes(size)):
+                yield data
+        finally:
+            s.close()
+
 
 class Snapshot:
     """One manifest's rows as DataFrames, bound when it was opened."""
@@ -176,27 +207,63 @@ class Snapshot:
 
     @property
     def entries(self) -> DataFrame:
-        out = self.store.spark.createDataFrame([], ENTRIES)
-        for s in self.manifest.segments:
-            out = lay_over(out, self._read(s["entries"], DELTA) if s["entries"] else None, s["drops"])
-        return out
+        found = newest_first([(s["entries"] and self._read(s["entries"], DELTA), s["drops"]) for s in self.manifest.segments])
+        return self.store.spark.createDataFrame([], ENTRIES) if found is None else found.where("not deleted").select(*ENTRIES.names)
 
     @property
     def ttl(self) -> DataFrame:
-        out = self.store.spark.createDataFrame([], TTL)
-        for s in self.manifest.segments:
-            out = lay_ttl_over(out, self._read(s["ttl"], TTL_DELTA) if s["ttl"] else None, s["drops"])
-        return out
-
-    def journal(self) -> tuple[DataFrame, DataFrame]:
-        """Headers (tx_id, truncated, n_changes) and changes of the retained transactions."""
-        j = self.manifest.journal or {"headers": []}
-        spark = self.store.spark
-        headers = spark.createDataFrame([(h["tx_id"], h["truncated"], h["n"]) for h in j["headers"]], "tx_id bigint, truncated boolean, n_changes bigint")
-        paths = [f"{self.store.root}/journal/{h['tx_id']:020d}" for h in j["headers"] if h["n"]]
+        found = newest_first([(s["ttl"] and self._read(s["ttl"], TTL_DELTA), s["drops"]) for s in self.manifest.segments])
+        return self.store.spark.createDataFrame([], TTL) if found is None else found.where("expires_at_ms is not null")
+
+    def headers(self, after: int = -1, limit: int | None = None) -> list[dict]:
+        """Of the retained transactions those behind ``after``, in order."""
+        found = sorted((h for h in (self.manifest.journal or {"headers": []})["headers"] if h["tx_id"] > after), key=lambda h: h["tx_id"])
+        return found[:limit]
+
+    def journal(self, after: int = -1, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+        """Headers (tx_id, truncated, n_changes) and changes of retained transactions; only the folders asked for are opened."""
+        spark, picked = self.store.spark, self.headers(after, limit)
+        headers = spark.createDataFrame([(h["tx_id"], h["truncated"], h["n"]) for h in picked], "tx_id bigint, truncated boolean, n_changes bigint")
+        paths = [f"{self.store.root}/{rows_of(h)}" for h in picked if h["n"]]
         return headers, spark.read.schema(CHANGES).parquet(*paths) if paths else spark.createDataFrame([], CHANGES)
 
 
+def rows_of(header: dict) -> str:
+    """Where a transaction's journal rows lie; earlier stores named them by the number alone."""
+    return header.get("name") or f"journal/{header['tx_id']:020d}"
+
+
+def newest_first(layers: list[tuple[DataFrame | None, list[str]]]) -> DataFrame | None:
+    """The last row of every key over layers from oldest to newest, deletions included.
+
+    The newest are joined first, so the oldest and largest layer meets the keys of all others in a single anti-join.
+    A layer's drops take out rows of the layers below it, not its own.
+    """
+    out, dropped = None, []
+    for rows, drops in reversed(layers):
+        if rows is not None:
+            for p in dropped:
+                rows = rows.where(~F.col("path").startswith(p))
+            out = rows if out is None else writes.upsert(rows, out, ["path", "key"])
+        dropped = dropped + drops
+    return out
+
+
+def fold_start(rows: list[int]) -> int:
+    """Which of the segments, from oldest to newest with so many rows, the next commit folds with its own: those from this place on.
+
+    Segments fall into classes of size. When FOLD_AFTER of the newest are of one class or smaller ones, they
+    become one segment; larger ones below stay untouched, so a small commit never rewrites a large store.
+    """
+    for size in range(64):
+        small = next((i for i, n in enumerate(reversed(rows)) if n >= TIER ** (size + 1)), len(rows))
+        if small >= FOLD_AFTER:
+            return len(rows) - small
+        if small == len(rows):
+            break
+    return len(rows)
+
+
 def lay_over(base: DataFrame, delta: DataFrame | None, drops: list[str]) -> DataFrame:
     """A segment over what lies below: its dropped subtrees and its keys go, its rows that aren't deletions come."""
     for p in drops:
@@ -288,7 +355,7 @@ class Store:
         try:
             return Tx(self, self.latest(), token)
         except BaseException:
-            self.unlock()
+            self.unlock(token)
             raise
 
     def try_write_tx(self):
@@ -313,8 +380,23 @@ class Store:
             time.sleep(0.002)
         return token
 
-    def unlock(self) -> None:
+    def unlock(self, token: str) -> None:
+        """Frees the lock if it is still this writer's."""
+        try:
+            mine = self.files.read("writer.lock").decode() == token
+        except Exception:  # there is none any more
+            return
+        if mine:
+            self.files.delete("writer.lock")
+
+    def break_lock(self) -> bool:
+        """Takes a lock away whose process on another host is known to be dead; whether there was one.
+
+        Should that writer live after all, its commit fails: the next manifest's name can be created once only.
+        """
+        there = self.files.exists("writer.lock")
         self.files.delete("writer.lock")
+        return there
 
     @contextmanager
     def view(self):
@@ -350,24 +432,35 @@ class Store:
         except StoreError as e:
             raise TransactionError(storage=e) from e
         except Exception as e:
+            if unreadable(e):
+                raise TransactionError(storage=InvalidStore(f"a data file can't be read: {str(e).splitlines()[0][:200]}")) from e
             raise TransactionError(application=e) from e
 
     # commit
 
-    def stage(self, tx_id: int, delta: DataFrame | None, ttl: DataFrame | None, drops: list[str]) -> Segment:
-        """Writes a segment's files, sorted by place and clustered by range, and records their hashes."""
+    def stage(self, tx_id: int, delta: DataFrame | None, ttl: DataFrame | None, drops: list[str], rows_per_file: int = MAX_FILE_ROWS) -> Segment:
+        """Writes a segment's files, sorted by place and clustered by range, and records their hashes; on an error none of them stays."""
         seg, run = Segment(drops=drops), f"{tx_id:020d}-{uuid.uuid4().hex[:8]}"
-        for kind, df in (("entries", delta), ("ttl", ttl)):
-            if df is None:
-                continue
-            name = f"data/{kind}-{run}"
-            df.repartitionByRange("path", "key").sortWithinPartitions("path", "key").write.option("maxRecordsPerFile", MAX_FILE_ROWS).parquet(f"{self.root}/{name}")
-            self.hook(f"after-{kind}-write")
-            setattr(seg, kind, name)
-            sizes = {f"{name}/{f}": size for f, size in self.files.list(name) if f.endswith(".parquet")}
-            seg.files |= {f: {"bytes": sizes[f], "sha256": h} for f, h in self._hashes(list(sizes)).items()}
-        if delta is not None:
-            seg.rows = self.spark.read.schema(DELTA).parquet(f"{self.root}/{seg.entries}").count()
+        try:
+            for kind, df in (("entries", delta), ("ttl", ttl)):
+                if df is None:
+                    continue
+                name = f"data/{kind}-{run}"
+                setattr(seg, kind, name)
+                df.repartitionByRange("path", "key").sortWithinPartitions("path", "key").write.option("maxRecordsPerFile", min(MAX_FILE_ROWS, rows_per_file)).parquet(f"{self.root}/{name}")
+                self.hook(f"after-{kind}-write")
+                sizes = {f"{name}/{f}": size for f, size in self.files.list(name) if f.endswith(".parquet")}
+                if any(size > MAX_FILE_BYTES for size in sizes.values()):
+                    raise CapacityExceeded(f"a data file has more than {MAX_FILE_BYTES} bytes")
+                hashes = self._hashes(list(sizes))
+                if set(hashes) != set(sizes):
+                    raise InvalidStore("a staged file can't be read")
+                seg.files |= {f: {"bytes": sizes[f], "sha256": h} for f, h in hashes.items()}
+            if delta is not None:
+                seg.rows = self.spark.read.schema(DELTA).parquet(f"{self.root}/{seg.entries}").count()
+        except Exception:
+            self._discard(seg)
+            raise
         return seg
 
     def _hashes(self, names: list[str]) -> dict[str, str]:
@@ -385,22 +478,22 @@ class Store:
         return [n for n, want in seg["files"].items() if found.get(n) != want["sha256"]]
 
     def publish(self, m: Manifest, staged: Segment | None) -> None:
+        """Checks the staged segment and creates the next manifest; where that is refused, the segment's files go."""
         if staged is not None:
             m.segments.append(asdict(staged))
-        if self.options.max_file_bytes is not None and sum(f["bytes"] for s in m.segments for f in s["files"].values()) > self.options.max_file_bytes:
-            self._discard(staged)
-            raise CapacityExceeded("the commit would exceed max_file_bytes")
-        if staged is not None and self.options.verification is not Verification.STANDARD and self.check_segment(asdict(staged)):
-            self._discard(staged)
-            raise InvalidStore("staged files don't read back as written")
-        if self.options.verification is Verification.FULL:
-            if not integrity.violations(Snapshot(self, m).entries).isEmpty():
-                self._discard(staged)
+        try:
+            if self.options.max_file_bytes is not None and sum(f["bytes"] for s in m.segments for f in s["files"].values()) > self.options.max_file_bytes:
+                raise CapacityExceeded("the commit would exceed max_file_bytes")
+            if staged is not None and self.options.verification is not Verification.STANDARD and self.check_segment(asdict(staged)):
+                raise InvalidStore("staged files don't read back as written")
+            if self.options.verification is Verification.FULL and not integrity.violations(Snapshot(self, m).entries).isEmpty():
                 raise InvalidStore("the commit would break the tree")
-        self.hook("before-manifest")
-        if not self.files.create(self._manifest_name(m.tx_id), m.text().encode()):
-            raise InvalidStore("another writer has published this transaction")
-        self.hook("after-manifest")
+            self.hook("before-manifest")
+            if not self.files.create(self._manifest_name(m.tx_id), m.text().encode()):
+                raise InvalidStore("another writer has published this transaction")
+        except Exception:
+            self._discard(staged)
+            raise
         self.committed += 1
         self.bytes_written += sum(f["bytes"] for f in (staged.files if staged else {}).values())
 
@@ -436,22 +529,31 @@ class Store:
             raise InvalidStore(f"{first.invariant}: {first.path}")
 
     def vacuum(self) -> int:
-        """Deletes manifests before the oldest reader's and data that no remaining manifest lists; how many went."""
+        """Deletes manifests before the oldest reader's, and what no remaining manifest lists: data, journal rows of pruned or
+        refused transactions, staging of writers that died; how many went.
+
+        It holds the writer's lock, so nothing that a commit is about to publish counts as forgotten.
+        """
+        token = self._lock(None)
+        try:
+            return self._vacuum()
+        finally:
+            self.unlock(token)
+
+    def _vacuum(self) -> int:
         keep_from = min([self.latest().tx_id, *self.readers.values()])
-        gone, needed = 0, set()
+        gone, needed = [], set()
         for name, _ in self.files.list("manifest"):
-            tx_id = int(name.removesuffix(".json"))
-            if tx_id < keep_from:
-                self.files.delete(f"manifest/{name}")
-                gone += 1
-            else:
-                m = Manifest.parse(self.files.read(f"manifest/{name}").decode())
-                needed |= {n for s in m.segments for n in (s["entries"], s["ttl"]) if n}
-        for name, _ in self.files.list("data"):
-            if f"data/{name}" not in needed:
-                self.files.delete(f"data/{name}")
-                gone += 1
-        return gone
+            if not name.endswith(".json") or int(name.removesuffix(".json")) < keep_from:
+                gone.append(f"manifest/{name}")
+                continue
+            m = Manifest.parse(self.files.read(f"manifest/{name}").decode())
+            needed |= {n for s in m.segments for n in (s["entries"], s["ttl"]) if n} | {rows_of(h) for h in (m.journal or {"headers": []})["headers"] if h["n"]}
+        gone += [f"{d}/{name}" for d in ("data", "journal") for name, _ in self.files.list(d) if f"{d}/{name}" not in needed]
+        gone += [f"staging/{name}" for name, _ in self.files.list("staging")]
+        for name in gone:
+            self.files.delete(name)
+        return len(gone)
 
 
 @dataclass(frozen=True)

@@ -128,11 +128,11 @@ def enable_journal(store, max_transactions: int = 10_000) -> None:
 
 def replay_journal(store, after: int, limit: int, condition: WatchFilter | None = None) -> JournalReplay:
     """The next transactions for a consumer; what a filter leaves empty still counts as delivered."""
-    with store.view() as tx:
+    with store.view() as tx, E.typed_reads():
         if tx.manifest.journal is None:
             return JournalReplay()
-        headers, changes = tx._snapshot.journal()
-        ends = journal.gap(headers, after).first()
+        known = [h["tx_id"] for h in tx._snapshot.headers()]
+        headers, changes = tx._snapshot.journal(after, limit)
         rows = journal.replay(headers, changes, after, limit, condition and condition.condition()).collect()
     sets: dict[int, list] = {}
     cut: dict[int, bool] = {}
@@ -142,7 +142,8 @@ def replay_journal(store, after: int, limit: int, condition: WatchFilter | None
         if r.op is not None:
             found.append(Change(tuple(tree.names_of(r.bucket_path)), bytes(r.key), r.op))
     done = tuple(ChangeSet(t, tuple(c), cut[t]) for t, c in sets.items())
-    return JournalReplay(done, ends.oldest, ends.newest, JournalGap(after, ends.oldest) if ends.gap else None)
+    oldest, newest = min(known, default=None), max(known, default=None)
+    return JournalReplay(done, oldest, newest, JournalGap(after, oldest) if oldest is not None and after + 1 < oldest else None)
 
 
 def checkpoint_journal(store, consumer, tx_id: int) -> None:
@@ -156,20 +157,42 @@ def journal_checkpoint(store, consumer) -> int | None:
 
 
 def journal_stream(spark: SparkSession, root: str) -> DataFrame:
-    """The journal's changes as they are committed, as a stream of files; each is delivered once per checkpoint."""
-    from nestwell.sources.store import CHANGES
-
-    return spark.readStream.schema(CHANGES).option("recursiveFileLookup", "true").parquet(f"{root.rstrip('/')}/journal")
+    """tx_id of transactions as they are published: a stream over the manifests, whose creation is the commit point."""
+    names = spark.readStream.format("text").schema("value string").option("wholetext", "true").option("pathGlobFilter", "*.json").option("ignoreMissingFiles", "true").load(f"{root.rstrip('/')}/manifest")
+    return names.select(F.regexp_extract("_metadata.file_name", r"^(\d+)\.json$", 1).cast("bigint").alias("tx_id"))
 
 
 def consume_journal(spark: SparkSession, root: str, consumer: str, handle: Callable[[DataFrame, int], None], condition: WatchFilter | None = None) -> None:
-    """Hands all new changes to ``handle(rows, batch)`` and returns; the consumer's place is kept beside the store."""
-    rows = journal_stream(spark, root)
-    if condition is not None:
-        rows = rows.where(condition.condition())
-    rows.writeStream.foreachBatch(handle).option("checkpointLocation", f"{root.rstrip('/')}/consumers/{consumer}").trigger(availableNow=True).start().awaitTermination()
+    """Hands all new changes to ``handle(rows, batch)`` and returns; the consumer's place is kept beside the store.
+
+    A batch of manifests only says how far the journal has come.  Its rows are those that the newest
+    manifest lists behind the consumer's place, so nothing unpublished or pruned is delivered, and nothing
+    is lost if manifests were vacuumed in between.  A batch that fails is handed out again, alike.
+    """
+    from nestwell.sources.store import Files, Manifest, Snapshot, Store
+
+    home, store = f"consumers/{consumer}", Store(spark, root)
+    files: Files = store.files
+
+    def run(published: DataFrame, batch: int) -> None:
+        # what earlier batches have reached; one that is run again finds its own place written already
+        past = [(int(n.partition("-")[0]), int(n.partition("-")[2])) for n, _ in files.list(f"{home}/places")]
+        mine = [t for b, t in past if b == batch]
+        newest = mine[0] if mine else published.agg(F.max("tx_id")).first()[0]
+        if newest is None:
+            return
+        if not mine:
+            files.create(f"{home}/places/{batch}-{newest}", b"")
+        after = max([t for b, t in past if b < batch], default=-1)
+        m: Manifest = store.latest()
+        snap = Snapshot(store, m)
+        picked = [h for h in snap.headers(after) if h["tx_id"] <= newest]
+        _, rows = snap.journal(after, len(picked))
+        handle(rows if condition is None else rows.where(condition.condition()), batch)
+
+    journal_stream(spark, root).writeStream.foreachBatch(run).option("checkpointLocation", f"{root.rstrip('/')}/{home}/state").trigger(availableNow=True).start().awaitTermination()
 
 
 def windowed_counts(changes: DataFrame, ts: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Changes per operation and window of a timestamped feed, with late rows up to the watermark."""
+    """An extra: changes per operation and window of a timestamped feed, with late rows up to the watermark."""
     return changes.withWatermark(ts, late).groupBy(F.window(ts, width), "op").count()

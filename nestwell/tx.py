@@ -14,10 +14,12 @@ from pyspark.sql import types as T
 from nestwell import errors as E
 from nestwell.functions.codecs import to_bytes
 from nestwell.operators import expiry, merge, ordered, tree, writes
-from nestwell.sources.store import CHANGES, FOLD_AFTER, Manifest, Snapshot, lay_over, lay_ttl_over
+from nestwell.sources.store import CHANGES, DELTA, FILE_BYTES, MAX_FILE_ROWS, TTL_DELTA, Manifest, Snapshot, fold_start, lay_over, lay_ttl_over, newest_first
 
 #: A change set lists this many changes, of so many bytes of path and key, and is marked truncated beyond.
 MAX_CHANGES, MAX_CHANGE_BYTES = 4_096, 4 << 20
+#: The deadline of a mark, at path + "#", that a bucket has had deadlines; no clock reaches it.
+FOREVER = (1 << 63) - 1
 _ROW = T.StructType([*tree.ENTRIES.fields, T.StructField("deleted", T.BooleanType(), False)])
 _DEADLINE = T.StructType([*tree.TTL.fields[:2], T.StructField("expires_at_ms", T.LongType())])
 
@@ -109,7 +111,8 @@ class Tx:
         self.schemas, self.journal, self.checkpoints = dict(manifest.schemas), manifest.journal, dict(manifest.checkpoints)
         self.changes: list[Change] = []
         self._bytes, self.truncated = 0, False
-        self._id = uuid.uuid4().hex
+        self._id, self._token = uuid.uuid4().hex, token
+        self._heap = [0, 0]
         if not self.writable:
             store.readers[self._id] = manifest.tx_id
 
@@ -150,13 +153,22 @@ class Tx:
         if delta is not None or ttl is not None or drops:
             self._push(delta, ttl, drops or [])
 
+    def keep(self, df: DataFrame, count: bool = True) -> DataFrame:
+        """``df`` staged below the store until this transaction ends; with ``count`` it belongs to what a commit writes."""
+        path = f"staging/{self._id}/{uuid.uuid4().hex}"
+        with E.typed_reads():
+            df.write.parquet(f"{self.store.root}/{path}")
+        out = self.spark.read.schema(df.schema).parquet(f"{self.store.root}/{path}")
+        if count:
+            self._heap = [self._heap[0] + out.count(), self._heap[1] + sum(n for _, n in self.store.files.list(path))]
+        return out
+
     def _staged(self, df: DataFrame | None) -> DataFrame | None:
         if df is None:
             return None
-        path = f"{self.store.root}/staging/{self._id}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        return None if out.isEmpty() else out
+        before = self._heap[0]
+        out = self.keep(df)
+        return None if self._heap[0] == before else out
 
     @property
     def entries(self) -> DataFrame:
@@ -168,6 +180,7 @@ class Tx:
         self._flush()
         return self._base_ttl
 
+    @E.typed_reads()
     def find(self, path: str, key: bytes) -> tuple | None:
         """(kind, value, next_int) of an entry, or None."""
         if (path, key) in self._layer.entries:
@@ -175,6 +188,7 @@ class Tx:
         r = self._base.where((F.col("path") == path) & (F.col("key") == F.lit(key))).select("kind", "value", "next_int").first()
         return None if r is None else (r.kind, None if r.value is None else bytes(r.value), r.next_int)
 
+    @E.typed_reads()
     def deadline(self, path: str, key: bytes) -> int | None:
         if (path, key) in self._layer.ttl:
             return self._layer.ttl[path, key]
@@ -282,47 +296,54 @@ class Tx:
 
     # end
 
+    @E.typed_reads()
     def commit(self) -> ChangeSet:
+        """Writes the segment and the journal's rows under names of their own; the manifest that lists both is the commit point.
+
+        Rows that no manifest lists reach no consumer: a refused commit takes its own away, what a crash
+        leaves goes with ``vacuum``, and a number that is used again has other names.
+        """
         self.need_write()
         if not self.open:
             raise E.StoreError("this transaction has ended")
         try:
             self._flush()
             m = Manifest(self.tx_id, list(self.manifest.segments), self.root_next_int, self.manifest.page_size, self.schemas, self.journal, self.checkpoints)
+            rows = None
             if self.journal is not None:
-                headers = [*self.journal["headers"], {"tx_id": self.tx_id, "truncated": self.truncated, "n": len(self.changes)}]
+                rows = f"journal/{self.tx_id:020d}-{self._id}" if self.changes else None
+                headers = [*self.journal["headers"], {"tx_id": self.tx_id, "truncated": self.truncated, "n": len(self.changes), "name": rows}]
                 m.journal = {"keep": self.journal["keep"], "headers": headers[-self.journal["keep"] :]}
-                if self.changes:
-                    rows = [(self.tx_id, i, tree.path_of(c.bucket_path), c.key, c.op) for i, c in enumerate(self.changes)]
-                    self.spark.createDataFrame(rows, CHANGES).coalesce(1).write.mode("overwrite").parquet(f"{self.store.root}/journal/{self.tx_id:020d}")
-            staged = None
-            if self._layers and len(m.segments) >= FOLD_AFTER:
-                # many segments make reads slow: this commit writes the whole snapshot as one
-                m.segments, staged = [], self.store.stage(self.tx_id, self._base.withColumn("deleted", F.lit(False)), self._base_ttl, [])
-            elif self._layers:
-                delta, ttl, drops = self._combined()
-                staged = self.store.stage(self.tx_id, delta, ttl, drops)
-            self.store.publish(m, staged)
+            try:
+                if rows:
+                    listed = [(self.tx_id, i, tree.path_of(c.bucket_path), c.key, c.op) for i, c in enumerate(self.changes)]
+                    self.spark.createDataFrame(listed, CHANGES).coalesce(1).write.parquet(f"{self.store.root}/{rows}")
+                    self.store.hook("after-journal-write")
+                self.store.publish(m, self._segment(m) if self._layers else None)
+            except Exception:
+                if rows:
+                    self.store.files.delete(rows)
+                raise
+            self.store.hook("after-manifest")
         finally:
             self._release()
         done = ChangeSet(self.tx_id, tuple(self.changes), self.truncated)
         self.store.watches.publish(done)
         return done
 
-    def _combined(self) -> tuple[DataFrame | None, DataFrame | None, list[str]]:
-        """All layers as one segment: the last row of each key, and dropped subtrees that no later row may undo."""
-        delta = ttl = None
-        drops: list[str] = []
-        for d, t, dropped in self._layers:
-            for p in dropped:
-                delta = delta if delta is None else delta.where(~F.col("path").startswith(p))
-                ttl = ttl if ttl is None else ttl.where(~F.col("path").startswith(p))
-            drops += dropped
-            for new in (d,) if d is not None else ():
-                delta = new if delta is None else writes.upsert(delta, new, ["path", "key"])
-            for new in (t,) if t is not None else ():
-                ttl = new if ttl is None else writes.upsert(ttl, new, ["path", "key"])
-        return delta, ttl, drops
+    def _segment(self, m: Manifest):
+        """All layers as one staged segment, together with the newest segments of like size if they have become many."""
+        start = fold_start([s["rows"] for s in m.segments])
+        folded, m.segments = m.segments[start:], m.segments[:start]
+        read = self._snapshot._read
+        layers = [(s["entries"] and read(s["entries"], DELTA), s["ttl"] and read(s["ttl"], TTL_DELTA), s["drops"]) for s in folded] + self._layers
+        entries, ttl = newest_first([(e, d) for e, _, d in layers]), newest_first([(t, d) for _, t, d in layers])
+        drops = [p for _, _, dropped in layers for p in dropped]
+        if not start:  # nothing lies below: what was taken out need not be told
+            entries, ttl, drops = entries and entries.where("not deleted"), ttl and ttl.where("expires_at_ms is not null"), []
+        n = self._heap[0] + sum(s["rows"] for s in folded)
+        size = self._heap[1] + sum(f["bytes"] for s in folded for f in s["files"].values())
+        return self.store.stage(self.tx_id, entries, ttl, drops, MAX_FILE_ROWS if size < FILE_BYTES else max(1, FILE_BYTES * n // size))
 
     def rollback(self) -> None:
         self._release()
@@ -334,7 +355,7 @@ class Tx:
             self.open = False
             if self.writable:
                 self.store.files.delete(f"staging/{self._id}")
-                self.store.unlock()
+                self.store.unlock(self._token)
             else:
                 self.store.readers.pop(self._id, None)
 
@@ -438,7 +459,9 @@ class Bucket:
         if not wanted:
             return []
         want = self.tx.spark.createDataFrame(wanted, "pos int, key binary")
-        return [None if r.value is None else bytes(r.value) for r in ordered.multi_get(self.values.select("key", "value"), "key", want).collect()]
+        rows = ordered.only_keys(self.values.select("key", "value"), "key", [k for _, k in wanted])
+        with E.typed_reads():
+            return [None if r.value is None else bytes(r.value) for r in ordered.multi_get(rows, "key", want).collect()]
 
     def cursor(self) -> DataFrame:
         return self.rows.orderBy("key")
@@ -456,6 +479,7 @@ class Bucket:
     def range(self, low: ordered.Bound | None = None, high: ordered.Bound | None = None) -> DataFrame:
         return ordered.key_range(self.rows, "key", low, high)
 
+    @E.typed_reads()
     def _end(self, order: Column) -> KV | None:
         r = self.values.orderBy(order).select("key", "value").first()
         return None if r is None else KV(bytes(r.key), bytes(r.value))
@@ -466,9 +490,11 @@ class Bucket:
     def last(self) -> KV | None:
         return self._end(F.col("key").desc())
 
+    @E.typed_reads()
     def len(self) -> int:
         return self.values.count()
 
+    @E.typed_reads()
     def is_empty(self) -> bool:
         return self.values.isEmpty()
 
@@ -542,6 +568,48 @@ class Bucket:
         self.delete(key)
         return Atomic(True, old, None)
 
+    # conditional writes of many keys
+
+    def put_if_absent_many(self, rows: DataFrame) -> DataFrame:
+        """``put_if_absent`` for every row (key, value); each key once.
+
+        All conditional batches return key, applied, observed and current, readable until the transaction
+        ends, from one join with the bucket; a key named twice is refused, as its rows would have no order.
+        """
+        wanted = self._each_once(rows.select("key", F.col("value").alias("new")))
+        return self._conditional(writes.put_if_absent(self._values_of(wanted), wanted, ["key"], "value", "new"), "put")
+
+    def compare_exchange_many(self, rows: DataFrame) -> DataFrame:
+        """``compare_exchange`` for every row (key, expected, value); an expected null means that the key must be missing."""
+        wanted = self._each_once(rows.select("key", "expected", F.col("value").alias("new")))
+        return self._conditional(writes.compare_exchange(self._values_of(wanted), wanted, ["key"], "value", "expected", "new"), "put")
+
+    def delete_if_value_many(self, rows: DataFrame) -> DataFrame:
+        """``delete_if_value`` for every row (key, expected)."""
+        wanted = self._each_once(rows.select("key", "expected"))
+        return self._conditional(writes.delete_if_value(self._values_of(wanted), wanted, ["key"], "value", "expected"), "delete")
+
+    def _each_once(self, wanted: DataFrame) -> DataFrame:
+        self.tx.need_write()
+        wanted = self.tx.keep(wanted, count=False)
+        if not wanted.groupBy("key").count().where("count > 1").isEmpty():
+            raise ValueError("a batch of conditional writes names a key twice")
+        if not self.rows.where("kind = 'bucket'").join(wanted.select("key"), "key", "left_semi").isEmpty():
+            raise E.IncompatibleValue("a key of the batch is a bucket")
+        return wanted
+
+    def _values_of(self, wanted: DataFrame) -> DataFrame:
+        return self.values.select("key", "value").join(wanted.select("key"), "key", "left_semi")
+
+    def _conditional(self, outcome: DataFrame, op: str) -> DataFrame:
+        outcome = self.tx.keep(outcome, count=False)
+        applied = outcome.where("applied")
+        fresh = applied.where("observed is null").count() if op == "put" else 0
+        self.tx.bulk(applied.select(F.lit(self.path).alias("path"), "key", F.lit("kv").alias("kind"), F.col("current").alias("value"), F.lit(None).cast("bigint").alias("next_int"), F.lit(op == "delete").alias("deleted")))
+        self.tx.count_insert(self.path, fresh)
+        self.tx.record_many(self.path, applied, op)
+        return outcome
+
     # bulk writes
 
     def _pairs(self, rows: DataFrame | Iterable) -> DataFrame:
@@ -551,6 +619,7 @@ class Bucket:
         data = [(bytearray(to_bytes(k)), bytearray(to_bytes(v)), i) for i, (k, v) in enumerate(rows)]
         return self.tx.spark.createDataFrame(data, "key binary, value binary, seq bigint")
 
+    @E.typed_reads()
     def insert_many(self, rows: DataFrame | Iterable) -> int:
         """Upserts all rows, the last of a key winning; how many there were, repeats included."""
         self.tx.need_write()
@@ -567,6 +636,7 @@ class Bucket:
         self.tx.record_many(self.path, ops, "put", "seq")
         return n
 
+    @E.typed_reads()
     def _remove_rows(self, gone: DataFrame, op: str = "delete") -> int:
         """Takes out entries of this bucket; ``gone`` holds their keys, each once."""
         self.tx.need_write()
@@ -595,14 +665,29 @@ class Bucket:
 
     def put_with_ttl(self, key, value, expires_at: float) -> TtlWrite:
         at = millis(expires_at)
-        first = self.tx.deadline(self.path, to_bytes(key)) is None and self.deadlines.isEmpty()
+        mark = (self.path + "#", b"")
+        marked = self.tx.deadline(*mark) is not None
+        first = not marked and self.tx.deadline(self.path, to_bytes(key)) is None and self.deadlines.isEmpty()
         before = self.put(key, value)
         self.tx.set_deadline(self.path, to_bytes(key), at)
+        if not marked:
+            self.tx.set_deadline(*mark, FOREVER)
         if first:
-            # the index of deadlines counts as two nested buckets
+            # the index of deadlines counts as two nested buckets, which stay when all deadlines are gone
             self.tx.count_insert(self.path, 2)
         return TtlWrite(before, at)
 
+    def set_deadlines(self, rows: DataFrame) -> None:
+        """Deadlines (key, expires_at_ms) for many keys of this bucket, each once; the first of a bucket count as by ``put_with_ttl``."""
+        self.tx.need_write()
+        mark = (self.path + "#", b"")
+        marked, any_before = self.tx.deadline(*mark) is not None, not self.deadlines.isEmpty()
+        before = self.tx._heap[0]
+        self.tx.bulk(ttl=rows.select(F.lit(self.path).alias("path"), "key", "expires_at_ms"))
+        if self.tx._heap[0] > before and not marked:
+            self.tx.set_deadline(*mark, FOREVER)
+            self.tx.count_insert(self.path, 0 if any_before else 2)
+
     def get_live(self, key, now: float | None = None) -> KV | None:
         kv = self.get_kv(key)
         at = self.tx.deadline(self.path, to_bytes(key))
@@ -623,6 +708,7 @@ class Bucket:
     def purge_expired(self, now: float, limit: int) -> int:
         return self._purge(millis(now), limit, whole=False)
 
+    @E.typed_reads()
     def _purge(self, now: int, limit: int, whole: bool) -> int:
         self.tx.need_write()
         rows = tree.subtree(self.tx.ttl, self.path) if whole else self.deadlines
@@ -647,13 +733,17 @@ class Bucket:
         cut = lambda df: tree.subtree(df, self.path).withColumn("path", F.substr("path", F.lit(len(self.path) + 1)))
         return cut(self.tx.entries).join(cut(self.tx.ttl).select("path", "key", F.col("expires_at_ms").alias("ttl")), ["path", "key"], "left")
 
+    @E.typed_reads()
     def merge_from(self, source: Bucket, policy: merge.ConflictPolicy = merge.ConflictPolicy.OVERWRITE) -> merge.MergeReport:
         """Merges the source's tree into this bucket, all or nothing."""
         self.tx.need_write()
         self._alive()
         if source.tx is self.tx and source.path == self.path:
             return merge.MergeReport()
-        planned = merge.plan(self._whole(), source._whole(), policy)
+        # computed once and staged: the report, the check for conflicts, the layers and the change set all read it
+        plan = merge.plan(self._whole(), source._whole(), policy).where("action <> 'keep'")
+        gone = F.col("action").isin("same", "skip", "merge")
+        planned = self.tx.keep(plan.withColumn("value", F.when(~gone | (F.col("action") == "merge"), F.col("value"))), count=False)
         if policy is merge.ConflictPolicy.ERROR:
             at = merge.first_conflict(planned).first()["at"]
             if at is not None:
