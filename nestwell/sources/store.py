@@ -23,7 +23,7 @@ from enum import Enum
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nestwell.errors import CapacityExceeded, InvalidStore, ReadOnlyStore, StoreError, TransactionError, WriterTimeout, unreadable
+from nestwell.errors import CapacityExceeded, InvalidStore, ReadOnlyStore, StoreError, TransactionError, WriterTimeout, typed_reads, unreadable
 from nestwell.operators import integrity, writes
 from nestwell.operators.tree import ENTRIES, TTL
 
@@ -202,6 +202,7 @@ class Snapshot:
     def __init__(self, store: Store, manifest: Manifest):
         self.store, self.manifest = store, manifest
 
+    @typed_reads()
     def _read(self, name: str, schema: str) -> DataFrame:
         return self.store.spark.read.schema(schema).parquet(f"{self.store.root}/{name}")
 
@@ -252,12 +253,14 @@ def newest_first(layers: list[tuple[DataFrame | None, list[str]]]) -> DataFrame
 def fold_start(rows: list[int]) -> int:
     """Which of the segments, from oldest to newest with so many rows, the next commit folds with its own: those from this place on.
 
-    Segments fall into classes of size. When FOLD_AFTER of the newest are of one class or smaller ones, they
-    become one segment; larger ones below stay untouched, so a small commit never rewrites a large store.
+    Segments fall into classes of size. When FOLD_AFTER of the newest are of one class or smaller ones, and
+    none of them outweighs the others by TIER, they become one segment; larger ones below stay untouched,
+    so a small commit never rewrites a large store.
     """
     for size in range(64):
         small = next((i for i, n in enumerate(reversed(rows)) if n >= TIER ** (size + 1)), len(rows))
-        if small >= FOLD_AFTER:
+        newest = rows[len(rows) - small :]
+        if small >= FOLD_AFTER and max(newest) <= TIER * (sum(newest) - max(newest)):
             return len(rows) - small
         if small == len(rows):
             break
