@@ -14,6 +14,8 @@ _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 _WORD_ENDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The second for plain lower-case characters; and without apostrophes, its pre-tokens that aren't letters.
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+#: The byte-level pattern for plain characters; its matches leave nothing out.
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _MARKS = re.compile(r"[^a-zß-öø-ÿ\s](?:(?<![0-9])[^a-zß-öø-ÿ0-9\s]+)?")
 
 
@@ -81,8 +83,8 @@ class Encoder:
     """``ids(text)`` equals ``Tokenizer.encode(text, add_special_tokens=False).ids``.
 
     Plain texts go through a faster engine over the file's own vocabulary and merge order.  Texts with
-    unusual characters or a special string go to the library itself, and texts
-    beyond ``chunk`` characters through it in overlapping chunks.
+    unusual characters or a special string go to the library itself.  Texts beyond ``chunk`` characters are
+    encoded in overlapping chunks, each by one or the other.
     """
 
     def __init__(self, text: str, chunk: int = 65_536, overlap: int = 1_024):
@@ -94,10 +96,11 @@ class Encoder:
         self.specials = [x["content"] for x in spec["added_tokens"]]
         self.guard = max([len(x) for x in self.specials], default=0) + 8
         self.normalizes = spec["normalizer"] is not None
-        pre, self.fast, table = spec["pre_tokenizer"] or {}, None, ranks(spec)
+        pre, self.fast, self.sizes, table = spec["pre_tokenizer"] or {}, None, None, ranks(spec)
         if table and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not self.normalizes:
             engine = tiktoken.Encoding("bytes", pat_str=_BYTE_LEVEL, mergeable_ranks=table, special_tokens={})
-            self.fast = engine.encode_ordinary
+            self.fast, self.sizes = engine.encode_ordinary, np.zeros(max(table.values()) + 1, np.int64)
+            self.sizes[list(table.values())] = [len(token) for token in table]
         elif table and pre.get("type") == "Sequence" and pre["pretokenizers"][0].get("pattern", {}).get("Regex") == _WORD_ENDS:
             engine = tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=table, special_tokens={})
             self.fast = lambda text: engine.encode_ordinary(spaced_words(text))
@@ -111,13 +114,30 @@ class Encoder:
             return np.empty(0, "<u4"), 1, 0
         if len(text) > self.chunk:
             return self.resync(text)
-        if self.fast is not None and not any(s in text for s in self.specials) and is_plain(text):
+        if self._is_fast(text):
             return np.array(self.fast(text), "<u4"), 1, 0
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4"), 1, 0
 
+    def _is_fast(self, text: str) -> bool:
+        return self.fast is not None and not any(s in text for s in self.specials) and is_plain(text)
+
     def _chunk(self, text: str, start: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, and for each pre-token its first character in the whole text and its first token."""
-        e = self.tok.encode(text[start:end], add_special_tokens=False)
+        """Ids, and for each pre-token its first character in the whole text and its first token.
+
+        The fast engine tells no offsets.  Where tokens are runs of the text's own bytes, their sizes add up
+        to them, and the pattern itself tells where pre-tokens begin.
+        """
+        part = text[start:end]
+        if self.sizes is not None and part and self._is_fast(part):
+            ids = np.array(self.fast(part), "<u4")
+            ends = np.cumsum([len(x) for x in _PIECES.findall(part)])
+            at = np.concatenate([[0], ends[:-1]])
+            before = at
+            if not part.isascii():  # a plain character beyond ASCII is two bytes
+                wide = np.frombuffer(part.encode("latin-1"), np.uint8) > 127
+                before = at + np.concatenate([[0], np.cumsum(wide)])[at]
+            return ids, at + start, np.searchsorted(np.cumsum(self.sizes[ids]), before, "right")
+        e = self.tok.encode(part, add_special_tokens=False)
         words = np.array([-1 if w is None else w for w in e.word_ids], np.int64)
         first = np.flatnonzero(np.diff(words, prepend=-2))
         at = np.array([x for x, _ in e.offsets], np.int64)
@@ -144,7 +164,8 @@ class Encoder:
             while True:
                 if end >= n:  # the widened chunk holds all that is left
                     break
-                both, i, j = np.intersect1d(left[1][left[1] <= end - self.guard], right[1], return_indices=True)
+                low, high = np.searchsorted(left[1], [begin, end - self.guard + 1])
+                both, i, j = np.intersect1d(left[1][low:high], right[1][: np.searchsorted(right[1], end)], return_indices=True)
                 ok = [k for k, p in enumerate(both) if begin <= p and p + self.guard < stop and self._clean(text, int(p))][:1]
                 if ok:
                     break
@@ -157,7 +178,7 @@ class Encoder:
             if end >= n:
                 break
             k = ok[0]
-            out.append(left[0][skip : left[2][i[k]]])
+            out.append(left[0][skip : left[2][low + i[k]]])
             left, skip, start, end = right, right[2][j[k]], begin, stop
             if widened and int(both[k]) > begin + chunk:
                 # the next chunk must begin behind the splice: restart the current one there

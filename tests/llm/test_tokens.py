@@ -184,3 +184,18 @@ def test_staging_survives_in_the_shared_folder(spark):
     df = ws.stage(spark.range(5), "x")
     assert df.count() == 5 and ws.root.startswith(spark.conf.get("spark.checkpoint.dir"))
     ws.drop(df)
+
+
+def test_chunks_of_plain_texts_equal_the_library():
+    """The fast engine's chunks: pre-tokens by pattern, offsets by tokens' sizes, beside chunks that the library encodes."""
+    enc, rnd = Encoder(open(BYTES, encoding="utf-8").read()), random.Random(9)
+    bits = ["a", "Word", "über", " ", "  ", "\n", "\n\n", "'s", "'ll", "'", "é", "12", "!!", "_", "ÿ", "x" * 30, "don't", " ...", "×", "日"]
+    for i in range(1500):
+        kinds = bits[: rnd.choice([len(bits), len(bits) - 2])]
+        text = "".join(rnd.choice(kinds) for _ in range(rnd.randint(1, 150)))
+        ids, at, first = enc._chunk(text, 0, len(text))
+        whole = enc.tok.encode(text, add_special_tokens=False)
+        starts = [k for k, w in enumerate(whole.word_ids) if k == 0 or w != whole.word_ids[k - 1]]
+        assert ids.tolist() == whole.ids and first.tolist() == starts and at.tolist() == [whole.offsets[k][0] for k in starts], text
+        got, chunks, widened = enc.resync(text, chunk=rnd.randint(5, 60), overlap=rnd.randint(2, 40))
+        assert got.tolist() == whole.ids, text
