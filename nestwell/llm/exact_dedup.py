@@ -128,13 +128,13 @@ def exact_groups(docs: DataFrame, history: DataFrame | None = None, id_col: str
         past, outside = history, True
     known = past.groupBy("digest").agg(F.max("doc_id").cast("long").alias("winner"), F.count("*").alias("copies")).withColumn("historical", F.lit(outside))
     index, buckets = build_index(ws, ws.stage(known, "known"))
-    asked = ws.stage(look_up(rows, index, buckets), "asked")
-    most = (F.max("doc_id").alias("last"), F.count("*").alias("group_size"))
-    members, others = asked.filter("place is not null"), asked.filter("place is null")
-    members = members.join(members.groupBy("place").agg(*most), "place")
-    others = others.join(others.groupBy("digest").agg(*most), "digest")
-    columns = ("doc_id", "digest", "winner", "historical", "last", "group_size")
-    out, gone = members.select(*columns).union(others.select(*columns)), F.coalesce("historical", F.lit(False))
+    member = F.col("place").isNotNull()
+    # members meet at their slot, nonmembers at their digest: no bucket is negative and no digest empty
+    meet = {"_b": F.when(member, F.col("place._b")).otherwise(-1), "_slot": F.when(member, F.col("place._slot")).otherwise(-1), "_alone": F.when(member, F.lit(b"")).otherwise(F.col("digest"))}
+    asked = ws.stage(look_up(rows, index, buckets).withColumns(meet).drop("place"), "asked")
+    # staged, so that the join below reads plain shuffles, which Spark may split where a group is hot
+    sizes = ws.stage(asked.groupBy(*meet).agg(F.max("doc_id").alias("last"), F.count("*").alias("group_size")), "sizes")
+    out, gone = asked.join(sizes, list(meet)), F.coalesce("historical", F.lit(False))
     # the place of a slot says who won before; a later document of the table itself may have come since
     keep = F.when(gone, F.col("winner")).otherwise(F.greatest("winner", "last"))
     return out.select("doc_id", keep.alias("keep_id"), F.col("group_size").cast("long").alias("group_size"), (~gone & keep.eqNullSafe(F.col("doc_id"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), gone.alias("in_history"))
