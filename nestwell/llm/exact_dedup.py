@@ -69,13 +69,14 @@ def _bucket(digest: Column, buckets: int) -> Column:
     return F.conv(F.hex(F.substring(digest, 1, 7)), 16, 10).cast("long") % buckets
 
 
-def build_index(ws: Workspace, known: DataFrame) -> tuple[DataFrame, int]:
+def build_index(ws: Workspace, known: DataFrame, most: int | None = None) -> tuple[DataFrame, int]:
     """A minimal perfect hash over ``known`` (digest, winner, copies, historical), one row per slot, and its buckets.
 
-    Digests are spread over buckets by their first bytes; each bucket of about 2,048 is hashed by itself,
-    so no task holds more however many there are.  Every slot holds the full digest and its winner.
+    Digests are spread over buckets by their first bytes; each bucket of about 2,048 at most is hashed by itself,
+    so no task holds more however many there are.  ``most`` bounds their number: where digests have many
+    copies, counting rows is cheap and only makes buckets smaller.  Every slot holds the full digest and its winner.
     """
-    buckets = max(1, -(-known.count() // BUCKET))
+    buckets = max(1, -(-(known.count() if most is None else most) // BUCKET))
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         shifts, slots = build_bucket(rows["digest"].tolist())
@@ -127,7 +128,7 @@ def exact_groups(docs: DataFrame, history: DataFrame | None = None, id_col: str
     else:
         past, outside = history, True
     known = past.groupBy("digest").agg(F.max("doc_id").cast("long").alias("winner"), F.count("*").alias("copies")).withColumn("historical", F.lit(outside))
-    index, buckets = build_index(ws, ws.stage(known, "known"))
+    index, buckets = build_index(ws, known, past.count())
     member = F.col("place").isNotNull()
     # members meet at their slot, nonmembers at their digest: no bucket is negative and no digest empty
     meet = {"_b": F.when(member, F.col("place._b")).otherwise(-1), "_slot": F.when(member, F.col("place._slot")).otherwise(-1), "_alone": F.when(member, F.lit(b"")).otherwise(F.col("digest"))}
