@@ -91,6 +91,26 @@ def page_after(df: DataFrame, key: str, token: Any | None, limit: int) -> DataFr
     return rows.orderBy(key).limit(limit + 1 if limit else 0)
 
 
+def in_place(df: DataFrame, key: str) -> DataFrame:
+    """All rows in key order with ``_at``: their range partition's number and, in its low 33 bits, their place there.
+
+    Stage the result before it is read: another run may cut the ranges elsewhere.
+    """
+    return df.repartitionByRange(key).sortWithinPartitions(key).withColumn("_at", F.monotonically_increasing_id())
+
+
+def numbered(placed: DataFrame, out: str) -> DataFrame:
+    """Staged rows of ``in_place`` numbered from 0 in key order; one count per range partition reaches the driver."""
+    part = F.shiftright("_at", 33).alias("_part")
+    offsets, before = [], 0
+    for r in sorted(placed.groupBy(part).count().collect()):
+        offsets.append((r["_part"], before))
+        before += r["count"]
+    starts = placed.sparkSession.createDataFrame(offsets, "_part bigint, _before bigint")
+    rows = placed.select("*", part).join(F.broadcast(starts), "_part")
+    return rows.withColumn(out, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_part", "_before", "_at")
+
+
 def ends(df: DataFrame, key: str, value: str, prefix: str = "") -> DataFrame:
     """One row: the first and last key with their values, in one combining aggregation."""
     return df.agg(F.min(key).alias(f"{prefix}first_key"), F.min_by(value, key).alias(f"{prefix}first_value"), F.max(key).alias(f"{prefix}last_key"), F.max_by(value, key).alias(f"{prefix}last_value"))

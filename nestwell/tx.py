@@ -14,7 +14,8 @@ from pyspark.sql import types as T
 from nestwell import errors as E
 from nestwell.functions.codecs import to_bytes
 from nestwell.operators import expiry, merge, ordered, tree, writes
-from nestwell.sources.store import CHANGES, DELTA, FILE_BYTES, MAX_FILE_ROWS, TTL_DELTA, Manifest, Snapshot, fold_start, lay_over, lay_ttl_over, newest_first
+from nestwell.session import scratch_root
+from nestwell.sources.store import CHANGES, DELTA, FILE_BYTES, MAX_FILE_ROWS, TTL_DELTA, Files, Manifest, Snapshot, fold_start, lay_over, lay_ttl_over, newest_first
 
 #: A change set lists this many changes, of so many bytes of path and key, and is marked truncated beyond.
 MAX_CHANGES, MAX_CHANGE_BYTES = 4_096, 4 << 20
@@ -113,6 +114,7 @@ class Tx:
         self._bytes, self.truncated = 0, False
         self._id, self._token = uuid.uuid4().hex, token
         self._heap = [0, 0]
+        self._aside: list[str] = []
         if not self.writable:
             store.readers[self._id] = manifest.tx_id
 
@@ -163,6 +165,13 @@ class Tx:
             self._heap = [self._heap[0] + out.count(), self._heap[1] + sum(n for _, n in self.store.files.list(path))]
         return out
 
+    def aside(self, df: DataFrame) -> DataFrame:
+        """``df`` staged outside the store until this transaction ends: readers write nothing below it, and ``vacuum`` takes nothing away."""
+        at = scratch_root(self.spark, "aside")
+        self._aside.append(at)
+        df.write.parquet(at)
+        return self.spark.read.schema(df.schema).parquet(at)
+
     def _staged(self, df: DataFrame | None) -> DataFrame | None:
         if df is None:
             return None
@@ -353,6 +362,8 @@ class Tx:
     def _release(self) -> None:
         if self.open:
             self.open = False
+            for at in self._aside:
+                Files(self.spark, at).delete("")
             if self.writable:
                 self.store.files.delete(f"staging/{self._id}")
                 self.store.unlock(self._token)

@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -42,6 +43,30 @@ def test_users(store):
             tx.collection(CollectionDef("", U64(), Utf8()))
 
 
+def test_pages_are_those_of_page_after(store, spark):
+    with store.update() as tx:
+        u = tx.collection_mut(USERS)
+        u.insert_many([(k * k, f"v{k}") for k in range(1, 61)])
+        u.insert(7, "expired", expires_at=10)
+        tx.collection_mut(COUNTERS)
+    with store.view() as tx:
+        u, token, want, tokens = tx.collection(USERS), None, [], []
+        while not want or token is not None:
+            page = u.page_after(token, 7)
+            want += [(len(tokens), k, v) for k, v in page.items]
+            tokens.append(token := page.next)
+        jobs = set(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+        got = sorted((r.page, int(r.key), r.value) for r in u.pages(7).collect())
+        assert len(set(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - jobs) < len(tokens)
+        assert got == want and len(got) == 60 and got[-1][0] == 8
+        assert sorted(r.value for r in u.pages(7, tokens[0]).where("page = 0").collect()) == sorted(v for p, _, v in want if p == 1)
+        assert tx.collection(COUNTERS).pages(7).collect() == [] and u.pages(1000).agg({"page": "max"}).first()[0] == 0
+        with pytest.raises(ValueError):
+            u.pages(0)
+        aside = list(tx._aside)
+    assert aside and not any(os.path.exists(p) for p in aside)
+
+
 def test_writes(store):
     with store.update() as tx:
         tx.create_bucket("raw")
