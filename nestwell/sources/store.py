@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nestwell.errors import CapacityExceeded, InvalidStore, ReadOnlyStore, StoreError, TransactionError, WriterTimeout, typed_reads, unreadable
-from nestwell.operators import integrity, writes
+from nestwell.operators import integrity
 from nestwell.operators.tree import ENTRIES, TTL
 
 FORMAT = 1
@@ -35,6 +35,8 @@ CHANGES = "tx_id bigint, seq bigint, bucket_path string, key binary, op string"
 MAX_FILE_ROWS, FILE_BYTES, MAX_FILE_BYTES = 1_000_000, 256 << 20, 2_000_000_000
 #: So many newest segments of one size class or a smaller one are folded by a commit; a class is TIER times the one below.
 FOLD_AFTER, TIER = 8, 16
+#: Keys of more rows than these aren't broadcast in a join, however small their files are.
+BROADCAST_ROWS = 100_000
 
 
 class Verification(Enum):
@@ -208,12 +210,12 @@ class Snapshot:
 
     @property
     def entries(self) -> DataFrame:
-        found = newest_first([(s["entries"] and self._read(s["entries"], DELTA), s["drops"]) for s in self.manifest.segments])
+        found = newest_first([(s["entries"] and self._read(s["entries"], DELTA), s["drops"], s["rows"]) for s in self.manifest.segments])
         return self.store.spark.createDataFrame([], ENTRIES) if found is None else found.where("not deleted").select(*ENTRIES.names)
 
     @property
     def ttl(self) -> DataFrame:
-        found = newest_first([(s["ttl"] and self._read(s["ttl"], TTL_DELTA), s["drops"]) for s in self.manifest.segments])
+        found = newest_first([(s["ttl"] and self._read(s["ttl"], TTL_DELTA), s["drops"], ttl_rows(s)) for s in self.manifest.segments])
         return self.store.spark.createDataFrame([], TTL) if found is None else found.where("expires_at_ms is not null")
 
     def headers(self, after: int = -1, limit: int | None = None) -> list[dict]:
@@ -234,18 +236,32 @@ def rows_of(header: dict) -> str:
     return header.get("name") or f"journal/{header['tx_id']:020d}"
 
 
-def newest_first(layers: list[tuple[DataFrame | None, list[str]]]) -> DataFrame | None:
-    """The last row of every key over layers from oldest to newest, deletions included.
+def by_rows(df: DataFrame, rows: int) -> DataFrame:
+    """One side of a join, of so many rows: large ones are kept from being broadcast.
+
+    Spark judges Parquet files by their compressed size, and sorted keys shrink so much that 10 MB of files become hundreds of MB on the driver.
+    """
+    return df.hint("merge") if rows > BROADCAST_ROWS else df
+
+
+def ttl_rows(segment: dict) -> int:
+    """About how many deadlines a segment holds, rather more than fewer: a row takes some 4 bytes of a file or more."""
+    return sum(f["bytes"] for n, f in segment["files"].items() if segment["ttl"] and n.startswith(segment["ttl"])) // 4
+
+
+def newest_first(layers: list[tuple[DataFrame | None, list[str], int]]) -> DataFrame | None:
+    """The last row of every key over layers (rows, drops, number of rows) from oldest to newest, deletions included.
 
     The newest are joined first, so the oldest and largest layer meets the keys of all others in a single anti-join.
     A layer's drops take out rows of the layers below it, not its own.
     """
-    out, dropped = None, []
-    for rows, drops in reversed(layers):
+    out, dropped, above = None, [], 0
+    for rows, drops, n in reversed(layers):
         if rows is not None:
             for p in dropped:
                 rows = rows.where(~F.col("path").startswith(p))
-            out = rows if out is None else writes.upsert(rows, out, ["path", "key"])
+            out = rows if out is None else rows.join(by_rows(out.select("path", "key"), above), ["path", "key"], "left_anti").unionByName(out)
+            above += n
         dropped = dropped + drops
     return out
 
@@ -267,23 +283,23 @@ def fold_start(rows: list[int]) -> int:
     return len(rows)
 
 
-def lay_over(base: DataFrame, delta: DataFrame | None, drops: list[str]) -> DataFrame:
-    """A segment over what lies below: its dropped subtrees and its keys go, its rows that aren't deletions come."""
+def lay_over(base: DataFrame, delta: DataFrame | None, drops: list[str], rows: int) -> DataFrame:
+    """A segment of so many rows over what lies below: its dropped subtrees and its keys go, its rows that aren't deletions come."""
     for p in drops:
         base = base.where(~F.col("path").startswith(p))
     if delta is None:
         return base
     fresh = delta.where("not deleted").select("path", "key", "kind", "value", "next_int")
-    return base.join(delta.select("path", "key"), ["path", "key"], "left_anti").unionByName(fresh)
+    return base.join(by_rows(delta.select("path", "key"), rows), ["path", "key"], "left_anti").unionByName(fresh)
 
 
-def lay_ttl_over(base: DataFrame, delta: DataFrame | None, drops: list[str]) -> DataFrame:
+def lay_ttl_over(base: DataFrame, delta: DataFrame | None, drops: list[str], rows: int) -> DataFrame:
     """Like ``lay_over``; a deadline of null takes the row out."""
     for p in drops:
         base = base.where(~F.col("path").startswith(p))
     if delta is None:
         return base
-    return base.join(delta.select("path", "key"), ["path", "key"], "left_anti").unionByName(delta.where("expires_at_ms is not null"))
+    return base.join(by_rows(delta.select("path", "key"), rows), ["path", "key"], "left_anti").unionByName(delta.where("expires_at_ms is not null"))
 
 
 @dataclass

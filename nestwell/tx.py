@@ -15,7 +15,7 @@ from nestwell import errors as E
 from nestwell.functions.codecs import to_bytes
 from nestwell.operators import expiry, merge, ordered, tree, writes
 from nestwell.session import scratch_root
-from nestwell.sources.store import CHANGES, DELTA, FILE_BYTES, MAX_FILE_ROWS, TTL_DELTA, Files, Manifest, Snapshot, fold_start, lay_over, lay_ttl_over, newest_first
+from nestwell.sources.store import CHANGES, DELTA, FILE_BYTES, MAX_FILE_ROWS, TTL_DELTA, Files, Manifest, Snapshot, by_rows, fold_start, lay_over, lay_ttl_over, newest_first, ttl_rows
 
 #: A change set lists this many changes, of so many bytes of path and key, and is marked truncated beyond.
 MAX_CHANGES, MAX_CHANGE_BYTES = 4_096, 4 << 20
@@ -115,6 +115,8 @@ class Tx:
         self._id, self._token = uuid.uuid4().hex, token
         self._heap = [0, 0]
         self._aside: list[str] = []
+        #: No bucket has more rows.
+        self.most_rows = sum(s["rows"] for s in manifest.segments)
         if not self.writable:
             store.readers[self._id] = manifest.tx_id
 
@@ -136,12 +138,14 @@ class Tx:
             return
         rows = [(p, k, *(v or ("kv", None, None)), v is None) for (p, k), v in self._layer.entries.items()]
         ttl = [(p, k, v) for (p, k), v in self._layer.ttl.items()]
-        self._push(self.spark.createDataFrame(rows, _ROW) if rows else None, self.spark.createDataFrame(ttl, _DEADLINE) if ttl else None, [])
+        self._push((self.spark.createDataFrame(rows, _ROW), len(rows)) if rows else (None, 0), (self.spark.createDataFrame(ttl, _DEADLINE), len(ttl)) if ttl else (None, 0), [])
         self._layer = _Layer()
 
-    def _push(self, delta: DataFrame | None, ttl: DataFrame | None, drops: list[str]) -> None:
+    def _push(self, delta: tuple[DataFrame | None, int], ttl: tuple[DataFrame | None, int], drops: list[str]) -> None:
+        """Lays rows and deadlines, each with their number, over what there is."""
         self._layers.append((delta, ttl, drops))
-        self._base, self._base_ttl = lay_over(self._base, delta, drops), lay_ttl_over(self._base_ttl, ttl, drops)
+        self._base, self._base_ttl = lay_over(self._base, delta[0], drops, delta[1]), lay_ttl_over(self._base_ttl, ttl[0], drops, ttl[1])
+        self.most_rows += delta[1]
 
     def bulk(self, delta: DataFrame | None = None, ttl: DataFrame | None = None, drops: list[str] | None = None) -> None:
         """A layer of many rows: path, key, kind, value, next_int, deleted, one per key.
@@ -152,7 +156,7 @@ class Tx:
         self.need_write()
         self._flush()
         delta, ttl = self._staged(delta), self._staged(ttl)
-        if delta is not None or ttl is not None or drops:
+        if delta[1] or ttl[1] or drops:
             self._push(delta, ttl, drops or [])
 
     def keep(self, df: DataFrame, count: bool = True) -> DataFrame:
@@ -172,12 +176,13 @@ class Tx:
         df.write.parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
-    def _staged(self, df: DataFrame | None) -> DataFrame | None:
+    def _staged(self, df: DataFrame | None) -> tuple[DataFrame | None, int]:
         if df is None:
-            return None
+            return None, 0
         before = self._heap[0]
         out = self.keep(df)
-        return None if self._heap[0] == before else out
+        rows = self._heap[0] - before
+        return out if rows else None, rows
 
     @property
     def entries(self) -> DataFrame:
@@ -345,8 +350,8 @@ class Tx:
         start = fold_start([s["rows"] for s in m.segments])
         folded, m.segments = m.segments[start:], m.segments[:start]
         read = self._snapshot._read
-        layers = [(s["entries"] and read(s["entries"], DELTA), s["ttl"] and read(s["ttl"], TTL_DELTA), s["drops"]) for s in folded] + self._layers
-        entries, ttl = newest_first([(e, d) for e, _, d in layers]), newest_first([(t, d) for _, t, d in layers])
+        layers = [((s["entries"] and read(s["entries"], DELTA), s["rows"]), (s["ttl"] and read(s["ttl"], TTL_DELTA), ttl_rows(s)), s["drops"]) for s in folded] + self._layers
+        entries, ttl = newest_first([(e, d, n) for (e, n), _, d in layers]), newest_first([(t, d, n) for _, (t, n), d in layers])
         drops = [p for _, _, dropped in layers for p in dropped]
         if not start:  # nothing lies below: what was taken out need not be told
             entries, ttl, drops = entries and entries.where("not deleted"), ttl and ttl.where("expires_at_ms is not null"), []
@@ -605,9 +610,10 @@ class Bucket:
         wanted = self.tx.keep(wanted, count=False)
         if not wanted.groupBy("key").count().where("count > 1").isEmpty():
             raise ValueError("a batch of conditional writes names a key twice")
-        if not self.rows.where("kind = 'bucket'").join(wanted.select("key"), "key", "left_semi").isEmpty():
+        n = wanted.count()
+        if not self.rows.where("kind = 'bucket'").join(by_rows(wanted.select("key"), n), "key", "left_semi").isEmpty():
             raise E.IncompatibleValue("a key of the batch is a bucket")
-        return wanted
+        return by_rows(wanted, n)
 
     def _values_of(self, wanted: DataFrame) -> DataFrame:
         return self.values.select("key", "value").join(wanted.select("key"), "key", "left_semi")
@@ -636,7 +642,7 @@ class Bucket:
         self.tx.need_write()
         ops = self._pairs(rows)
         batch = writes.last_write_wins(ops, ["key"], ["seq"], ["value"])
-        here = self.rows.select("key", "kind")
+        here = by_rows(self.rows.select("key", "kind"), self.tx.most_rows)
         clash = batch.join(here.where("kind = 'bucket'"), "key", "left_semi")
         if not clash.isEmpty():
             raise E.IncompatibleValue("a key of the batch is a bucket")

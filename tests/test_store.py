@@ -6,6 +6,7 @@ import sys
 import tarfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from nestwell import errors as E
 from nestwell.functions.codecs import U64
@@ -21,6 +22,24 @@ def kv(bucket):
     return [(bytes(r.key), bytes(r.value)) for r in bucket.kv_pairs().collect()]
 
 
+def test_large_layers_are_not_broadcast(store, spark):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    rows = spark.range(150_000).select(U.encode(F.col("id")).alias("key"), F.encode(F.lit("v"), "UTF-8").alias("value"))
+    few = rows.limit(5)
+    with store.update() as tx:
+        b = tx.create_bucket("b")
+        assert b.put_if_absent_many(rows).where("applied").count() == 150_000
+        assert b.delete_if_value_many(few.withColumnRenamed("value", "expected")).where("applied").count() == 5
+        assert b.len() == 149_995 and "BroadcastHashJoin" in plan(tx.entries)  # the few deletions
+        assert "BroadcastHashJoin" not in plan(rows.join(b._each_once(rows).select("key"), "key", "left_semi"))
+    with store.update() as tx:
+        b = tx.get_bucket("b")
+        b.insert_many(rows.withColumn("value", F.encode(F.lit("w"), "UTF-8")))
+    with store.view() as tx:
+        assert "SortMergeJoin" in plan(tx.entries) and "BroadcastHashJoin" not in plan(tx.entries)
+        assert tx.get_bucket("b").len() == 150_000
+
+
 def test_shuffled_inserts_scan_in_order(store):
     ints = list(range(1001))
     random.Random(3).shuffle(ints)
